@@ -203,7 +203,7 @@ def split_files(spark, paths: str | list[str], limit: int, overlap: int, range_b
     own = cache.withColumn("segment", F.expr(f"r div {segment_ranges}"))
     next_ = own.where((F.col("r") % segment_ranges == 0) & (F.col("r") > 0)).withColumn("segment", F.col("segment") - 1)
 
-    def plan(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def plan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         path, segment = key
         pdf = pdf.sort_values("r")
         at, rank = stitch([(np.array(a, np.int64) + f, np.array(k, np.int8)) for a, k, f in zip(pdf["at"], pdf["kinds"], pdf["first_char"])])
@@ -225,7 +225,7 @@ def split_files(spark, paths: str | list[str], limit: int, overlap: int, range_b
 
     plans = own.unionByName(next_).groupBy("path", "segment").applyInPandas(plan, "path string, segment long, piece_no int, start long, end long, cut string, r long, first_char long, length long")
 
-    def emit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def emit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         path, r = key
         size = int(pdf.length.iloc[0])
         back = max(0, int((pdf.first_char - pdf.start).max()))

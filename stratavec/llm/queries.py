@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavec.llm import chunks, leakage, mixing, stuffing
+from stratavec.llm import chunks, knn, leakage, mixing, stuffing
 from stratavec.session import table
 
 
+DIM = 96  #: of the records' usable vectors
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return knn.neighbour_pairs(knn.nearest_neighbours(table(spark, d, "records"), DIM, 5, least=0.975))
+
+
+def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The 5 nearest of every fiftieth record among all records of its collection."""
+    return knn.nearest_neighbours(table(spark, d, "records"), DIM, 5, queries=F.col("rec_no") % 50 == 0, probes=12)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = chunks.split_column(chunks.with_limits(table(spark, d, "records"), table(spark, d, "chunk_limits")), "rec_no", "text_content", with_text=False)
     return pieces.where("piece_no = 1").select("rec_no")
