@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavec.llm import chunks, knn, leakage, mixing, stuffing
+from stratavec.llm import chunks, knn, leakage, mixing, similarity, stuffing
 from stratavec.session import table
 
 
 DIM = 96  #: of the records' usable vectors
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    records = table(spark, d, "records")
+    links = similarity.text_links(records, 0.6, 3, 20).unionByName(similarity.vector_links(records, DIM, 0.9995))
+    return links.select(F.col("a").alias("rec_a"), F.col("b").alias("rec_b")).distinct()
+
+
+def p2_text_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of near-duplicate texts by five words and a similarity of 0.8."""
+    records = table(spark, d, "records")
+    return similarity.duplicate_groups(records, similarity.text_links(records))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of records that repeat another's text or values."""
+    records = table(spark, d, "records")
+    links = similarity.text_links(records, 0.6, 3, 20).unionByName(similarity.vector_links(records, DIM, 0.9995))
+    return similarity.duplicate_groups(records, links)
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.neighbour_pairs(knn.nearest_neighbours(table(spark, d, "records"), DIM, 5, least=0.975))
 

@@ -47,13 +47,13 @@ def unit(x: np.ndarray, dtype=np.float32) -> np.ndarray:
     return y.astype(dtype, copy=False)
 
 
-def copy_classes(vectors: DataFrame, key: str, within: list[str]) -> DataFrame:
-    """(key, rep, n) of the rows whose vector is an exact copy of another's in the same ``within`` columns.
+def copy_classes(rows: DataFrame, key: str, within: list[str], content: str = "vec") -> DataFrame:
+    """(key, rep, n) of the rows whose content is an exact copy of another's in the same ``within`` columns.
 
     rep is the smallest key of the class.  Hashes of 128 bits are counted with partial aggregation, so a class that
     holds much of the table moves few rows.
     """
-    keys = vectors.select(key, *within, F.xxhash64("vec").alias("_a"), F.xxhash64(F.lit(1), "vec").alias("_b"))
+    keys = rows.select(key, *within, F.xxhash64(content).alias("_a"), F.xxhash64(F.lit(1), content).alias("_b"))
     on = [*within, "_a", "_b"]
     multi = keys.groupBy(*on).agg(F.min(key).alias("rep"), F.count("*").alias("n")).where("n > 1")
     same = [keys[c].eqNullSafe(multi[c]) for c in on]
