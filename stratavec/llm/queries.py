@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratavec.llm import chunks, knn, leakage, mixing, similarity, stuffing
+from stratavec.llm import chunks, clusters, knn, leakage, mixing, similarity, stuffing
 from stratavec.session import table
 
 
@@ -40,6 +40,18 @@ def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return knn.nearest_neighbours(table(spark, d, "records"), DIM, 5, queries=F.col("rec_no") % 50 == 0, probes=12)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.typical_pairs(clusters.members(table(spark, d, "records"), DIM))
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.typical_members(clusters.members(table(spark, d, "records"), DIM))
+
+
+def p4_unclustered(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.members(table(spark, d, "records"), DIM).where("cluster is null").select("rec_no")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     pieces = chunks.split_column(chunks.with_limits(table(spark, d, "records"), table(spark, d, "chunk_limits")), "rec_no", "text_content", with_text=False)
     return pieces.where("piece_no = 1").select("rec_no")
