@@ -71,6 +71,10 @@ def _metadata_table(name: str):
     return lambda spark, d: nested.metadata_tables(table(spark, d, "records"))[name]
 
 
+def contributor_names(spark, d):
+    return _metadata_table("contributors")(spark, d).select("rec_no", "pos", "name")
+
+
 # ---------------------------------------------------------------- retrieval
 
 
@@ -269,6 +273,7 @@ def alias_resolve(spark, d):
 def queries() -> dict:
     out = {"p1_found": p1_found}
     out |= {f"p1_{name}": _metadata_table(name) for name in ("sections", "citations", "links", "contributors", "affiliations", "units", "steps")}
+    out["p1_contributor_names"] = contributor_names
     out |= {"dense_cosine": _dense("cosine"), "dense_euclidean": _dense("euclidean"), "dense_dot": _dense("dotproduct")}
     plain = [dense_by_id, dense_filtered, batch_topk, bm25_topk, bm25_indexed, hybrid_rrf, hybrid_filtered, threshold, dedup, group_by, truncate, search_plan, rerank_lexical, ann_ivf, embed_text]
     plain += [filter_geo_radius, filter_geo_bbox, facets, facets_filtered, facets_events, namespace_stats, namespaces_distinct, list_prefix, scroll_page, fetch_ids, fetch_by_metadata, sample]
@@ -375,6 +380,51 @@ def _recommend_sql(negative: bool) -> str:
 
 
 
+def _unwrapped(j: str) -> str:
+    """A JSON string that holds JSON is that JSON; twice, for strings in strings."""
+    for _ in range(2):
+        text = f"json_extract_string({j}, '$')"
+        j = f"(CASE WHEN json_type({j}) = 'VARCHAR' AND left(ltrim({text}), 1) IN ('{{', '[', '\"') AND json_valid({text}) THEN TRY_CAST({text} AS JSON) ELSE {j} END)"
+    return j
+
+
+def _elements(j: str) -> str:
+    return f"(CASE json_type({j}) WHEN 'ARRAY' THEN CAST({j} AS JSON[]) WHEN 'OBJECT' THEN [{j}] END)"
+
+
+_ROOT_SQL = f"""raw AS (SELECT rec_no, CAST(metadata AS JSON) AS j FROM (SELECT rec_no, CASE WHEN json_valid(metadata) THEN metadata END AS metadata FROM records) WHERE metadata IS NOT NULL),
+    root AS (SELECT rec_no, {_unwrapped("j")} AS j FROM raw)"""
+#: Sections of any depth: their place and their JSON.
+_SECTIONS_SQL = f"""{_ROOT_SQL},
+    top AS (SELECT rec_no, {_elements("a")} AS l FROM (SELECT rec_no, {_unwrapped("json_extract(j, '$.sections')")} AS a FROM root WHERE json_type(j) = 'OBJECT')),
+    sec(rec_no, path, s) AS (
+        SELECT rec_no, CAST(i AS VARCHAR), e FROM (SELECT rec_no, i, {_unwrapped("l[i]")} AS e FROM (SELECT rec_no, l, unnest(range(1, len(l) + 1)) AS i FROM top)) WHERE json_type(e) = 'OBJECT'
+        UNION ALL
+        SELECT rec_no, path || '.' || CAST(i AS VARCHAR), e FROM (SELECT rec_no, path, i, {_unwrapped("l[i]")} AS e FROM (SELECT rec_no, path, l, unnest(range(1, len(l) + 1)) AS i
+            FROM (SELECT rec_no, path, {_elements("a")} AS l FROM (SELECT rec_no, path, {_unwrapped("json_extract(s, '$.subsections')")} AS a FROM sec)))) WHERE json_type(e) = 'OBJECT')"""
+
+
+def _objects_sql(of: str, parent: str, field: str) -> str:
+    """(rec_no, parent's place, pos, object) of the objects in a field of the objects (rec_no, path, s) of a table."""
+    return f"""SELECT rec_no, path AS {parent}, i AS pos, e FROM (SELECT rec_no, path, i, {_unwrapped("l[i]")} AS e FROM (SELECT rec_no, path, l, unnest(range(1, len(l) + 1)) AS i
+        FROM (SELECT rec_no, path, {_elements("a")} AS l FROM (SELECT rec_no, path, {_unwrapped(f"json_extract(s, '$.{field}')")} AS a FROM {of})))) WHERE json_type(e) = 'OBJECT'"""
+
+
+def _nested_sql() -> dict[str, str]:
+    cite = _objects_sql("sec", "section_path", "citations")
+    link = _objects_sql("c", "citation_path", "links")
+    person = _objects_sql("(SELECT rec_no, '' AS path, j AS s FROM root WHERE json_type(j) = 'OBJECT')", "parent_path", "contributors")
+    text = lambda f, e="e": f"json_extract_string({e}, '$.{f}') AS {f}"
+    return {
+        "p1_found": f"WITH RECURSIVE {_SECTIONS_SQL} SELECT rec_no, section_path, CAST(pos AS INTEGER) AS cite_pos FROM ({cite})",
+        "p1_sections": f"""WITH RECURSIVE {_SECTIONS_SQL} SELECT rec_no, path AS section_path, regexp_replace(path, '[.]?[0-9]+$', '') AS parent_path,
+            CAST(regexp_extract(path, '[0-9]+$') AS INTEGER) AS pos, {text("sid", "s")}, {text("title", "s")} FROM sec""",
+        "p1_links": f"""WITH RECURSIVE {_SECTIONS_SQL}, c AS (SELECT rec_no, section_path || '.' || CAST(pos AS VARCHAR) AS path, e AS s FROM ({cite}))
+            SELECT rec_no, citation_path || '.' || CAST(pos AS VARCHAR) AS link_path, citation_path, CAST(pos AS INTEGER) AS pos, {text("rel")}, {text("target")} FROM ({link})""",
+        "p1_contributor_names": f"WITH {_ROOT_SQL} SELECT rec_no, CAST(pos AS INTEGER) AS pos, {text('name')} FROM ({person})",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     lat, lon = "(user_id % 180 - 90)", "(user_id * 7 % 360 - 180)"
     haversine = f"{2 * EARTH_RADIUS} * asin(sqrt(least(1.0, pow(sin(radians({lat} - 10.0) / 2), 2) + cos(radians({lat})) * cos(radians(10.0)) * pow(sin(radians({lon} - 20.0) / 2), 2))))"
@@ -420,4 +470,5 @@ def oracle_sql() -> dict[str, str]:
         "alias_resolve": "SELECT alias, collection_name, dimension, metric, status FROM aliases a JOIN collections c ON a.collection_name = c.name",
     }
     out["bm25_indexed"] = out["bm25_topk"]
+    out |= _nested_sql()
     return out
