@@ -105,11 +105,63 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name[0] == "p" and name[1].isdigit()}
 
 
+_WORDS = "regexp_extract_all(lower({t}), '[\\p{{L}}\\p{{N}}]+')"
+_VECTORS = """v AS MATERIALIZED (SELECT rec_no, collection_name AS c, namespace AS s, CAST("values" AS DOUBLE[]) AS x FROM records
+    WHERE len("values") = 96 AND len(list_filter("values", lambda n: isnan(n))) = 0 AND len(list_filter("values", lambda n: n <> 0)) > 0),
+    u AS MATERIALIZED (SELECT rec_no, c, s, list_transform(x, lambda n: n / sqrt(list_inner_product(x, x))) AS x FROM v)"""
+#: What is replaced, in this order, to see of wiki markup what a reader sees.
+_SEEN = [
+    ("<!--.*?-->", ""),
+    (r"<ref\b[^<>]*/>", ""),
+    (r"<ref\b[^<>]*>.*?</ref\s*>", ""),
+    (r"</?blockquote[^<>]*>", " "),
+    (r"</?[a-zA-Z][^<>]*>", ""),
+    (r"\[\[(?:[^\[\]|]*\|)*([^\[\]|]*)\]\]", r"\1"),
+    ("''{2,5}", ""),
+    ("&nbsp;", " "),
+    (r"\x{00AD}", ""),
+]
+
+
+def _seen(text: str) -> str:
+    for pattern, to in _SEEN:
+        text = f"regexp_replace({text}, '{pattern}', '{to}', 'gs')"
+    return text
+
+
+def _grams(of: str, key: str, n: int) -> str:
+    return f"SELECT DISTINCT {key}, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS i FROM {of} WHERE len(w) >= {n})"
+
+
 def oracle_sql() -> dict[str, str]:
+    """SQL that gives the same rows by comparing everything with everything; for small tables."""
+    shown, said = _WORDS.format(t=_seen("text")), _WORDS.format(t="text_content")
     return {
+        "p2_found": f"""
+            WITH {_VECTORS}, d AS (SELECT rec_no, w FROM (SELECT rec_no, {said} AS w FROM records) WHERE len(w) >= 20),
+            g AS MATERIALIZED ({_grams("d", "rec_no", 3)}), n AS (SELECT rec_no, count(*) AS n FROM g GROUP BY 1),
+            p AS (SELECT a.rec_no AS a, b.rec_no AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.rec_no < b.rec_no GROUP BY 1, 2)
+            SELECT a AS rec_a, b AS rec_b FROM p JOIN n x ON x.rec_no = a JOIN n y ON y.rec_no = b WHERE k >= 0.6 * (x.n + y.n - k)
+            UNION SELECT a.rec_no, b.rec_no FROM u a JOIN u b ON a.c = b.c AND a.rec_no < b.rec_no WHERE list_inner_product(a.x, b.x) >= 0.9995""",
+        "p3_found": f"""
+            WITH {_VECTORS}, p AS (SELECT a.rec_no AS a, b.rec_no AS b, list_inner_product(a.x, b.x) AS s FROM u a JOIN u b ON a.c = b.c AND a.rec_no <> b.rec_no),
+            r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS nth FROM p)
+            SELECT DISTINCT least(a, b) AS rec_a, greatest(a, b) AS rec_b FROM r WHERE nth <= 5 AND s >= 0.975""",
+        "p4_found": f"""
+            WITH RECURSIVE {_VECTORS}, e AS MATERIALIZED (SELECT a.rec_no AS a, b.rec_no AS b FROM u a JOIN u b ON a.c = b.c AND a.s = b.s WHERE list_inner_product(a.x, b.x) >= 0.7),
+            reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+            m AS (SELECT a AS rec_no, min(b) AS k FROM reach GROUP BY 1), big AS (SELECT k FROM m GROUP BY 1 HAVING count(*) >= 5),
+            f AS MATERIALIZED (SELECT m.rec_no, k, x FROM m JOIN big USING (k) JOIN u USING (rec_no)),
+            t AS (SELECT a.k, a.rec_no, avg(list_inner_product(a.x, b.x)) AS s FROM f a JOIN f b USING (k) GROUP BY 1, 2),
+            top AS (SELECT k, rec_no AS top FROM t QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(s, 12) DESC, rec_no) = 1)
+            SELECT least(rec_no, top) AS rec_a, greatest(rec_no, top) AS rec_b FROM f JOIN top USING (k) WHERE rec_no <> top""",
         "p5_found": """
             SELECT rec_no FROM records JOIN chunk_limits USING (collection_name)
             WHERE length(text_content) > max_chars""",
+        "p6_found": f"""
+            WITH d AS (SELECT doc_id, {shown} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format(t="text")} AS w FROM eval_items),
+            dg AS ({_grams("d", "doc_id", 12)}), ig AS ({_grams("i", "item_id", 12)})
+            SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)""",
         # any measure of size that is in proportion to tokens gives the same sources
         "p7_found": """
             WITH d AS (SELECT lower(trim(source, chr(9) || chr(10) || chr(13) || ' ')) AS source, length(text) AS size FROM documents),

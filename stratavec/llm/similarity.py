@@ -57,7 +57,7 @@ def _band_hashes(parts: np.ndarray, bands: int) -> np.ndarray:
     per = parts.shape[1] // bands
     out = np.empty((len(parts), bands), np.uint64)
     for b in range(bands):
-        h = np.full(len(parts), np.uint64(b + 1) * _MIX, np.uint64)
+        h = np.full(len(parts), b + 1, np.uint64) * _MIX
         for j in range(per):
             h = _mix(h ^ parts[:, b * per + j]) + _MIX
         out[:, b] = h
