@@ -209,13 +209,15 @@ def split_files(spark, paths: str | list[str], limit: int, overlap: int, range_b
         at, rank = stitch([(np.array(a, np.int64) + f, np.array(k, np.int8)) for a, k, f in zip(pdf["at"], pdf["kinds"], pdf["first_char"])])
         mine, after = pdf[pdf.r < (segment + 1) * segment_ranges], pdf[pdf.r >= (segment + 1) * segment_ranges]
 
-        def edge(x: int) -> int:
-            near = [(k, -p) for p, k in zip(at.tolist(), rank.tolist()) if x <= p < x + limit]
+        def edge(first: pd.DataFrame) -> int:
+            """Where the segment of these ranges begins: seen from either side, so by its first range alone."""
+            x, chars = int(first.first_char.iloc[0]), int(first.chars.iloc[0])
+            near = [(k, -p) for p, k in zip(at.tolist(), rank.tolist()) if x < p <= x + min(limit, chars)]
             return -max(near)[1] if near else x
 
-        start, total = int(mine.first_char.iloc[0]), int(pdf.total.iloc[0])
-        begin = edge(start) - overlap if segment else 0
-        end = edge(int(after.first_char.iloc[0])) if len(after) else total
+        total = int(pdf.total.iloc[0])
+        begin = edge(mine) - overlap if segment else 0
+        end = edge(after) if len(after) else total
         firsts = pdf.first_char.to_numpy()
         rows = []
         for no, (a, b, cut) in enumerate(plan_pieces(at, rank, max(0, begin), end, limit, overlap) if end > begin else [], 1):

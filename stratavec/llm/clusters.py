@@ -7,17 +7,19 @@ connected set of at least ``min_size`` rows.  Finding them takes five steps, eac
 2. the leaves of a group are merged blocks by blocks, then agglomerated by Ward's criterion into centres, each with
    *hubs*: exemplars that are linked to one another;
 3. one pass assigns every row to its nearest centre; a row linked to a hub of it is a core row and needs no more;
-4. the exact check: rows that aren't core, and the rows of a centre that lies close to a larger one, are compared with
-   all rows of their group, in blocks; what they link is joined by connected components;
+4. the exact check: rows that aren't core, rows that lie towards another centre too, and the rows of a centre that lies
+   close to a larger one, are compared with all rows of their group, in blocks; what they link is joined by connected
+   components;
 5. members are ranked by their mean similarity to all members, which is their product with the members' mean.
 
 Summaries only save work: a leaf that is left out makes its rows be checked in step 4.  The one thing taken on trust is
-that core rows of two centres whose cosine is under NEIGHBOUR aren't linked to each other.
+that core rows of two centres aren't linked to each other if each has a cosine under TOWARDS with the other's centre.
 
 Scale: groups are cut into blocks of BLOCK_ROWS, so one that holds a third of all rows is many tasks; centres, and the
 rows to be checked, are copied to the blocks of their group.  Step 4 costs (rows to check) x (rows of the group).
 
-Defined results: rows without a usable vector are in no cluster and no result; a null namespace counts as ''; the most
+Defined results: rows without a usable vector or a key are in no cluster and no result; a null namespace or collection
+counts as ''; a key that is repeated counts as many rows; the most
 typical of equals is the smaller key; exact copies are rows like others; an empty table gives empty results.
 """
 
@@ -38,8 +40,8 @@ from stratavec.session import cut_lineage
 BLOCK_ROWS = 32768
 #: Blocks whose leaves are merged at once; exemplars kept of a leaf; hubs of a centre.
 FAN_IN, EXEMPLARS, HUBS = 16, 4, 8
-#: Cosine a row needs to join a leaf; centres that may be merged; centres that are checked against each other.
-LEAF, MERGE, NEIGHBOUR = 0.72, 0.6, 0.4
+#: Cosine a row needs to join a leaf; centres that may be merged; centres, and rows and other centres, that are checked.
+LEAF, MERGE, NEIGHBOUR, TOWARDS = 0.72, 0.6, 0.4, 0.45
 _CHUNK = 2048
 _EPS = 1e-5  # single-precision screening before the double-precision test
 
@@ -219,13 +221,18 @@ def _assigned(records: DataFrame, dim: int, threshold: float, blocks: DataFrame)
         if len(right) and len(left):
             x = unit(matrix(left.vec, dim))
             c = matrix(right.centroid, dim)
-            near = np.concatenate([(x[s : s + _CHUNK] @ c.T).argmax(1) for s in range(0, len(x), _CHUNK)])
+            near, towards = np.empty(len(x), np.int64), np.zeros(len(x), bool)
+            for s in range(0, len(x), _CHUNK):
+                score = x[s : s + _CHUNK] @ c.T
+                near[s : s + _CHUNK] = best = score.argmax(1)
+                score[np.arange(len(score)), best] = -2
+                towards[s : s + _CHUNK] = score.max(1) >= TOWARDS
             order = np.argsort(near, kind="stable")
             for mine in np.split(order, np.flatnonzero(np.diff(near[order])) + 1):
                 k = near[mine[0]]
                 core = (x[mine] @ matrix([right.hubs.iloc[k]], dim).T).max(1) >= threshold + _EPS
                 node[mine[core]] = right.hub.iloc[k]
-                check[mine[core]] = right.check.iloc[k]
+                check[mine[core]] = right.check.iloc[k] | towards[mine[core]]
         return left.assign(node=node, check=check)[[*at, "rec_no", "node", "check", "vec"]]
 
     level = rows.groupBy(*at).applyInPandas(leaves, _LEAVES)

@@ -10,8 +10,9 @@ Centroids and words are fitted on a bounded sample (SAMPLE rows), everything is
 rows are cut into blocks, and a query visits all blocks of a cell.  Exact copies stand for one another: one of them is
 indexed, and results are spread over the class afterwards.
 
-Defined results: rows without a usable vector take no part; no row is its own neighbour; equal similarity goes by
-smaller key; a collection with fewer rows gives fewer neighbours; columns of other names are ignored.
+Defined results: rows without a usable vector or a key take no part; no row is its own neighbour, nor is a repeated row of
+the same key; equal similarity goes by smaller key; a collection with fewer rows gives fewer neighbours; a null collection is
+one of its own; columns of other names are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ CELL_ROWS, BLOCK_ROWS, MOST_CELLS, SAMPLE = 1000, 2000, 16384, 49152
 #: Dimensions of a subspace and the cosine that scores matter from (it sets eta).
 SUB, SCORE_FROM = 4, 0.2
 #: Candidates of a block that are reranked, for each neighbour asked for.
-RERANK = 8
+RERANK = 12
 
 
 @dataclass
@@ -109,7 +110,7 @@ def fit_index(sample: np.ndarray, rows: int, cell_rows: int = CELL_ROWS, block_r
         raise ValueError(f"the dimension must be a multiple of {2 * SUB}")
     cells = max(1, min(MOST_CELLS, rows // cell_rows, len(sample) // 8))
     centroids = kmeans(sample, cells, 8)
-    eta = (dim - 1) * SCORE_FROM**2 / (1 - SCORE_FROM**2)
+    eta = max(2.0, (dim - 1) * SCORE_FROM**2 / (1 - SCORE_FROM**2))
     index = Index(centroids, np.zeros((dim // SUB, 16, SUB), np.float32), np.ones(len(centroids), np.int64), eta)
     near = index.nearest(sample, 1)[:, 0]
     part = slice(0, 8192)
@@ -128,10 +129,10 @@ def fit_index(sample: np.ndarray, rows: int, cell_rows: int = CELL_ROWS, block_r
     return index
 
 
-def _top(index: Index, q: np.ndarray, own: np.ndarray, x: np.ndarray, packed: np.ndarray, centroid: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, member, cosine) of the best ``k`` members of each query; own is the query's place among the members or -1.
+def _top(index: Index, q: np.ndarray, q_keys: np.ndarray, x_keys: np.ndarray, x: np.ndarray, packed: np.ndarray, centroid: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, member, cosine) of the best ``k`` members of each query that have another key.
 
-    q and x are double-precision unit rows."""
+    q and x are double-precision unit rows; members come in the order of their keys, for ties."""
     n = len(x)
     keep = min(n, RERANK * k + 1)
     out_q, out_x, out_s = [], [], []
@@ -145,7 +146,7 @@ def _top(index: Index, q: np.ndarray, own: np.ndarray, x: np.ndarray, packed: np
             best = np.broadcast_to(np.arange(n), score.shape)
         row = np.repeat(np.arange(len(score)), best.shape[1])
         member = best.ravel()
-        fine = member != own[s + row]
+        fine = x_keys[member] != q_keys[s + row]
         if least is not None:
             fine &= score[row, member] + error[member] >= least - 1e-4
         row, member = row[fine], member[fine]
@@ -231,8 +232,7 @@ def nearest_neighbours(records: DataFrame, dim: int, k: int, key: str = "rec_no"
         keys, member, ask = pdf[key].to_numpy()[order], member[order], ask[order]
         u = unit(matrix(pdf.vec.to_numpy()[order], dim), np.float64)
         packed = np.frombuffer(b"".join(pdf.code.to_numpy()[order][member]), np.uint8).reshape(int(member.sum()), -1)
-        place_of = np.where(member, np.cumsum(member) - 1, -1)
-        q, x, s = _top(ix, u[ask], place_of[ask], u[member], packed, ix.centroids[group[1]], k, least)
+        q, x, s = _top(ix, u[ask], keys[ask], keys[member], u[member], packed, ix.centroids[group[1]], k, least)
         return pd.DataFrame({key: keys[ask][q.astype(int)], "neighbour": keys[member][x.astype(int)], "similarity": s})
 
     placed = reps.mapInArrow(place, placed_schema)
@@ -246,7 +246,7 @@ def nearest_neighbours(records: DataFrame, dim: int, k: int, key: str = "rec_no"
     spread = spread.select(F.coalesce("_k", "_q").alias(key), F.coalesce("_m", "_n").alias("neighbour"), "similarity").where(F.col(key) != F.col("neighbour"))
     if queries is not None:
         spread = spread.join(vectors.where("_asks").select(key), key, "left_semi")
-    return _best(spread, key, k)
+    return _best(spread.groupBy(key, "neighbour").agg(F.max("similarity").alias("similarity")), key, k)
 
 
 def _best(pairs: DataFrame, key: str, k: int) -> DataFrame:

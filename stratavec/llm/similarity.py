@@ -11,7 +11,7 @@ over the cluster once.  Bands are laid out so that a pair at the threshold is mi
 (texts: 30 bands of 3 min-hashes, miss 0.0007 at Jaccard 0.6; vectors: 8 bands of 24 signs, miss 0.00001 at cosine 0.9995),
 and less the more similar it is; the radii are five standard deviations beyond what pairs at the threshold differ in.
 
-Defined results: null, empty and short texts (under ``min_words``) and unusable vectors take part in no pair; an item
+Defined results: null, empty and short texts (under ``min_words``), unusable vectors and null keys take part in no pair; an item
 isn't paired with itself; pairs have the smaller key first; a class of more than EXPAND exact copies is given as
 pairs of its first member with each other one, and pairs of other items with the class as pairs with that member;
 smaller classes are given in full.
@@ -240,7 +240,7 @@ def text_links(records: DataFrame, threshold: float = 0.8, shingle: int = 5, min
     spread=False gives (a, b, similarity) of representatives of exact copies only (same words, whatever stands between).
     """
     least = max(min_words or 0, shingle)
-    rows = records.select(F.col(key).cast("long").alias(key), plain_words(F.col(text)).alias("plain")).where(F.size(F.split("plain", " ")) >= least)
+    rows = records.select(F.col(key).cast("long").alias(key), plain_words(F.col(text)).alias("plain")).where((F.size(F.split("plain", " ")) >= least) & F.col(key).isNotNull())
     classes = copy_classes(rows, key, [], "plain")
     content = _representatives(rows, classes, key)
     n = rows.count()

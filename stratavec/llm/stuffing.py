@@ -36,7 +36,7 @@ FUNCTION_WORDS = frozenset(
 #: Words that recurrence looks back over; words of the sliding window; and the limits within it.
 LAG, WINDOW, RECURRING, FUNCTION_SHARE = 48, 24, 0.28, 0.1
 #: Repeated phrases may hold function words ("bolsas de viaje"): there, recurring triples of words and this share.
-RECURRING_TRIPLES, PHRASE_FUNCTION_SHARE = 0.5, 0.22
+RECURRING_TRIPLES, PHRASE_FUNCTION_SHARE = 0.7, 0.35
 #: A list of distinct entries: at least so many entries of at most so many words.
 LIST_ENTRIES, ENTRY_WORDS = 8, 5
 

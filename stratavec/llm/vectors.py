@@ -17,8 +17,8 @@ from stratavec.session import cut_lineage
 
 
 def usable_vectors(df: DataFrame, columns: list[str], dim: int, values: str = "values") -> DataFrame:
-    """``columns`` and ``vec`` of the rows whose vector is usable; one narrow pass."""
-    rows = df.where(F.size(F.col(values)) == dim).select(*columns, F.col(values).cast("array<float>").alias("_values"))
+    """``columns`` and ``vec`` of the rows whose vector is usable and whose first column, the key, isn't null; one narrow pass."""
+    rows = df.where((F.size(F.col(values)) == dim) & F.col(columns[0]).isNotNull()).select(*columns, F.col(values).cast("array<float>").alias("_values"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:-1]) + ", vec binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +63,7 @@ def copy_classes(rows: DataFrame, key: str, within: list[str], content: str = "v
 def first_members(classes: DataFrame, key: str, most: int) -> DataFrame:
     """(rep, member): the ``most`` smallest keys of each class."""
     w = Window.partitionBy("rep").orderBy(key)
-    return classes.withColumn("_no", F.row_number().over(w)).where(F.col("_no") <= most).select("rep", F.col(key).alias("member"))
+    return classes.withColumn("_no", F.dense_rank().over(w)).where(F.col("_no") <= most).select("rep", F.col(key).alias("member")).distinct()
 
 
 def hash_sample(df: DataFrame, key: str | Column, rows: int, of: int, seed: int = 7) -> DataFrame:
