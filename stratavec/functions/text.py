@@ -19,4 +19,4 @@ def words(text: str | None) -> list[str]:
 def keyword_terms(text: Column | str) -> Column:
     """Terms of the keyword index: lower case, cut at everything but a-z and 0-9, no empty ones."""
     text = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), "[^a-z0-9]+"), "")

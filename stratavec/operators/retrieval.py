@@ -7,7 +7,8 @@ more than the pool.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ DIGITS = 12
 #: Keyword ranking, as Okapi BM25 has them; fusion by reciprocal ranks, and its pool.
 K1, B = 1.2, 0.75
 RRF_K, POOL_FACTOR, MOST = 60, 6, 10_000
+#: Queries of a batch that are broadcast; more are an error, to be asked in several batches.
+MOST_QUERIES = 1000
 
 
 def _top(scored: DataFrame, k: int) -> DataFrame:
@@ -35,11 +38,13 @@ def dense(records: DataFrame, vector: Sequence[float], metric: str, k: int, expr
 
 
 def batch(records: DataFrame, queries: DataFrame, metric: str, k: int) -> DataFrame:
-    """The k best of each query (query_id, query); queries are few (10 a request) and are broadcast.
+    """The k best of each query (query_id, query); queries are broadcast, so their number is checked.
 
     Ranking by query keeps k rows a partition before the exchange.
     """
     q = queries.select("query_id", F.col("query"))
+    if (n := q.count()) > MOST_QUERIES:
+        raise ValueError(f"{n} queries; a batch has {MOST_QUERIES} at most")
     scored = records.crossJoin(F.broadcast(q)).where(F.size("values") == F.size("query")).withColumn("score", score(metric, F.col("values"), F.col("query"))).drop("query")
     w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last(F.round("score", DIGITS)), "id", "namespace")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -78,10 +83,6 @@ def _idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1.0)
 
 
-def _equals(term: str) -> Callable[[Column], Column]:
-    return lambda t: t == F.lit(term)
-
-
 def bm25(records: DataFrame, text: str, k: int, matching: Column | None = None) -> DataFrame:
     """The k best by keywords without an index: one aggregate for the statistics, one pass for the scores.
 
@@ -89,21 +90,20 @@ def bm25(records: DataFrame, text: str, k: int, matching: Column | None = None)
     the terms don't count; a query without terms finds nothing.
     """
     terms = query_terms(text)
-    docs = records.where(F.col("text_content").isNotNull()).withColumn("_terms", keyword_terms("text_content"))
-    docs = docs.withColumn("_tf", F.array(*[F.size(F.filter("_terms", _equals(q))) for q in terms]) if terms else F.array().cast("array<int>"))
-    docs = docs.withColumn("_dl", F.size("_terms"))
-    df = [F.sum((F.col("_tf")[i] > 0).cast("long")).alias(f"_df{i}") for i in range(len(terms))]
-    stats = docs.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *df)
-    found = docs.where(F.exists("_tf", lambda t: t > 0))
+    if not terms:
+        return _top(records.where(F.lit(False)).withColumn("score", F.lit(0.0)), 0)
+    tfs, dfs = [f"_tf{i}" for i in range(len(terms))], [f"_df{i}" for i in range(len(terms))]
+    docs = records.where(F.col("text_content").isNotNull()).withColumn("_terms", keyword_terms("text_content")).withColumn("_dl", F.size("_terms"))
+    # what is gone when a term is removed is its frequency; unlike a lambda, this is compiled
+    docs = docs.withColumns({c: F.col("_dl") - F.size(F.array_remove("_terms", t)) for c, t in zip(tfs, terms)}).drop("_terms")
+    stats = docs.agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *[F.count_if(F.col(t) > 0).alias(d) for t, d in zip(tfs, dfs)])
+    found = docs.where(reduce(Column.__or__, [F.col(t) > 0 for t in tfs]))
     if matching is not None:
         found = found.where(matching)
     scored = found.crossJoin(F.broadcast(stats))  # one row
-    total = F.lit(0.0)
-    for i in range(len(terms)):
-        tf = F.col("_tf")[i]
-        total = total + F.when(tf > 0, _idf(F.col("_n"), F.col(f"_df{i}")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_dl") / F.col("_avgdl")))).otherwise(0.0)
-    scored = scored.withColumn("score", total).drop("_terms", "_tf", "_dl", "_n", "_avgdl", *[f"_df{i}" for i in range(len(terms))])
-    return _top(scored, k)
+    norm = K1 * (1 - B + B * F.col("_dl") / F.col("_avgdl"))
+    parts = [F.when(F.col(t) > 0, _idf(F.col("_n"), F.col(d)) * F.col(t) * (K1 + 1) / (F.col(t) + norm)).otherwise(0.0) for t, d in zip(tfs, dfs)]
+    return _top(scored.withColumn("score", reduce(Column.__add__, parts)).drop("_dl", "_n", "_avgdl", *tfs, *dfs), k)
 
 
 # ---------------------------------------------------------------- both
