@@ -243,9 +243,10 @@ def text_links(records: DataFrame, threshold: float = 0.8, shingle: int = 5, min
     rows = records.select(F.col(key).cast("long").alias(key), plain_words(F.col(text)).alias("plain")).where((F.size(F.split("plain", " ")) >= least) & F.col(key).isNotNull())
     classes = copy_classes(rows, key, [], "plain")
     content = _representatives(rows, classes, key)
-    n = rows.count()
-    drawn = hash_sample(content, key, CROWD_SAMPLE, max(1, n)).select("plain").toPandas().plain if n > CROWD_SAMPLE else []
-    sample = [w for w in map(words, drawn) if len(w) >= least]
+    some = records.where(F.col(text).isNotNull())
+    n = some.count()
+    drawn = hash_sample(some, key, CROWD_SAMPLE, max(1, n)).select(text).toPandas()[text] if n > CROWD_SAMPLE else []
+    sample = [w for w in map(words, set(drawn)) if len(w) >= least]  # copies are compared once
     hot = _crowded(_text_signatures(sample, shingle)[0], n, len(sample)) if sample else {}
     shared = records.sparkSession.sparkContext.broadcast(hot)
     spread_bits = 0.5 * (1 - threshold)  # the share of sketch bits that differ at the threshold

@@ -53,7 +53,7 @@ def copy_classes(rows: DataFrame, key: str, within: list[str], content: str = "v
     rep is the smallest key of the class.  Hashes of 128 bits are counted with partial aggregation, so a class that
     holds much of the table moves few rows.
     """
-    keys = rows.select(key, *within, F.xxhash64(content).alias("_a"), F.xxhash64(F.lit(1), content).alias("_b"))
+    keys = cut_lineage(rows.select(key, *within, F.xxhash64(content).alias("_a"), F.xxhash64(F.lit(1), content).alias("_b")))  # the content is read once
     on = [*within, "_a", "_b"]
     multi = keys.groupBy(*on).agg(F.min(key).alias("rep"), F.count("*").alias("n")).where("n > 1")
     same = [keys[c].eqNullSafe(multi[c]) for c in on]
