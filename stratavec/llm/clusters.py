@@ -40,6 +40,8 @@ from stratavec.session import cut_lineage
 BLOCK_ROWS = 32768
 #: Blocks whose leaves are merged at once; exemplars kept of a leaf; hubs of a centre.
 FAN_IN, EXEMPLARS, HUBS = 16, 4, 8
+#: Leaves of a node of a feature tree; nodes that a row goes down.
+BRANCH, DESCEND = 64, 3
 #: Cosine a row needs to join a leaf; centres that may be merged; centres, and rows and other centres, that are checked.
 LEAF, MERGE, NEIGHBOUR, TOWARDS = 0.72, 0.6, 0.4, 0.45
 _CHUNK = 2048
@@ -48,33 +50,91 @@ _EPS = 1e-5  # single-precision screening before the double-precision test
 _LEAVES = "collection_name string, namespace string, block int, n long, ls binary, heads array<long>, examples binary"
 
 
-def cf_leaves(x: np.ndarray, least: float = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """(leaf of each row, linear sums): rows join the leaf whose centroid they are closest to, or start a new one.
+class FeatureTree:
+    """A cluster-feature tree of two levels: nodes of at most BRANCH leaves, each a (count, linear sum).
 
-    Rows come in chunks; those that fit no leaf are gathered around the first of them, again and again.
+    A row goes down the DESCEND nodes it is closest to, and joins the closest of their leaves if its cosine is at least
+    ``least``, else it starts a leaf.  Rows come in chunks; those that start leaves gather around the first of them.  Trees
+    are merged by their leaves, for features add up.
     """
-    leaf = np.full(len(x), -1, np.int64)
-    sums = np.zeros((64, x.shape[1]))
-    n = 0
-    for s in range(0, len(x), _CHUNK):
-        part, mine = x[s : s + _CHUNK], np.full(min(_CHUNK, len(x) - s), -1, np.int64)
-        if n:
-            score = part @ unit(sums[:n]).T
-            near = score.argmax(1)
-            fits = score[np.arange(len(part)), near] >= least
-            mine[fits] = near[fits]
-        rest = np.flatnonzero(mine < 0)
-        while len(rest):
-            joins = part[rest] @ part[rest[0]] >= least
-            joins[0] = True
-            if n == len(sums):
-                sums = np.vstack([sums, np.zeros_like(sums)])
-            mine[rest[joins]] = n
-            n += 1
-            rest = rest[~joins]
-        np.add.at(sums, mine, part)
-        leaf[s : s + _CHUNK] = mine
-    return leaf, sums[:n]
+
+    def __init__(self, dim: int, least: float = LEAF):
+        self.least, self.leaves = least, 0
+        self.sums, self.node_of = np.zeros((64, dim)), np.zeros(64, np.int64)
+        self.children: list[list[int]] = [[]]
+        self.nodes = np.zeros((1, dim))
+
+    def _closest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, cosine) of each row; -1 if there is none."""
+        leaf, best = np.full(len(x), -1, np.int64), np.full(len(x), -2.0, np.float32)
+        if len(self.children) <= DESCEND:
+            chosen = [(k, np.arange(len(x))) for k in range(len(self.children)) if self.children[k]]
+        else:
+            pick = np.argpartition(-(x @ unit(self.nodes).T), DESCEND - 1, axis=1)[:, :DESCEND]
+            row, node = np.repeat(np.arange(len(x)), DESCEND), pick.ravel()
+            order = np.argsort(node, kind="stable")
+            chosen = [(int(node[g[0]]), row[g]) for g in np.split(order, np.flatnonzero(np.diff(node[order])) + 1)]
+        for k, rows in chosen:
+            mine = np.array(self.children[k])
+            score = x[rows] @ unit(self.sums[mine]).T
+            top = score.argmax(1)
+            value = score[np.arange(len(rows)), top]
+            better = value > best[rows]
+            leaf[rows[better]], best[rows[better]] = mine[top[better]], value[better]
+        return leaf, best
+
+    def _new_leaf(self, total: np.ndarray) -> int:
+        if self.leaves == len(self.sums):
+            self.sums, self.node_of = np.vstack([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.node_of, np.zeros_like(self.node_of)])
+        k, self.leaves = self.leaves, self.leaves + 1
+        self.sums[k] = total
+        node = int((self.nodes @ total / np.maximum(np.sqrt((self.nodes**2).sum(1)), 1e-30)).argmax())
+        self.node_of[k] = node
+        self.children[node].append(k)
+        self.nodes[node] += total
+        if len(self.children[node]) > BRANCH:
+            self._split(node)
+        return k
+
+    def _split(self, node: int) -> None:
+        """Leaves go with the one of two far ones that they are closer to."""
+        mine = np.array(self.children[node])
+        c = unit(self.sums[mine])
+        a = int((c @ self.nodes[node]).argmin())
+        b = int((c @ c[a]).argmin())
+        with_b = c @ c[b] > c @ c[a]
+        with_b[b], with_b[a] = True, False
+        self.children[node] = mine[~with_b].tolist()
+        self.children.append(mine[with_b].tolist())
+        self.nodes = np.vstack([self.nodes, self.sums[mine[with_b]].sum(0)[None]])
+        self.nodes[node] = self.sums[mine[~with_b]].sum(0)
+        self.node_of[mine[with_b]] = len(self.children) - 1
+
+    def insert(self, x: np.ndarray) -> np.ndarray:
+        """The leaf of each row."""
+        out = np.empty(len(x), np.int64)
+        for s in range(0, len(x), _CHUNK):
+            part = x[s : s + _CHUNK]
+            leaf, best = self._closest(part)
+            leaf[best < self.least] = -1
+            fits = np.flatnonzero(leaf >= 0)
+            np.add.at(self.sums, leaf[fits], part[fits])
+            np.add.at(self.nodes, self.node_of[leaf[fits]], part[fits])
+            rest = np.flatnonzero(leaf < 0)
+            while len(rest):
+                joins = part[rest] @ part[rest[0]] >= self.least
+                joins[0] = True
+                leaf[rest[joins]] = self._new_leaf(part[rest[joins]].sum(0, dtype=np.float64))
+                rest = rest[~joins]
+            out[s : s + _CHUNK] = leaf
+        return out
+
+
+def cf_leaves(x: np.ndarray, least: float = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """(leaf of each row, linear sums of the leaves) of a tree of the rows."""
+    tree = FeatureTree(x.shape[1], least)
+    leaf = tree.insert(x)
+    return leaf, tree.sums[: tree.leaves]
 
 
 def _exemplars(x: np.ndarray, keys: np.ndarray, leaf: np.ndarray, sums: np.ndarray, most: int) -> list[np.ndarray]:

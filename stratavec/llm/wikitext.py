@@ -35,7 +35,11 @@ def visible(text: str | None) -> str:
         text = _TAG.sub("", text).replace("<!--", " ").replace("-->", " ")
     if "[" in text:
         text = _HIDDEN_LINK.sub(" ", text)
-        text = _LINK.sub(r"\1", text)
+        for _ in range(4):  # captions hold links
+            plain = _LINK.sub(r"\1", text)
+            if plain == text:
+                break
+            text = plain
         text = _URL_LINK.sub(lambda m: m.group(1) or "", text)
     if "''" in text:
         text = _EMPHASIS.sub("", text)

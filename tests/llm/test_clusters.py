@@ -95,6 +95,19 @@ def test_unusual_rows(spark):
     assert clusters.typical_pairs(clusters.members(table(spark, rows[:4]), 16)).count() == 0
 
 
+def test_tree_of_many_leaves():
+    rng = np.random.default_rng(9)
+    c = unit(rng.standard_normal((700, 48)).astype(np.float32))
+    x = unit(np.repeat(c, 6, axis=0) + 0.05 * rng.standard_normal((4200, 48)).astype(np.float32))[rng.permutation(4200)]
+    tree = clusters.FeatureTree(48)
+    leaf = tree.insert(x)
+    assert 700 <= tree.leaves <= 900 and len(tree.children) > 10 and max(map(len, tree.children)) <= clusters.BRANCH
+    assert sorted(k for m in tree.children for k in m) == list(range(tree.leaves))
+    for k, m in enumerate(tree.children):
+        assert (tree.node_of[m] == k).all() and np.allclose(tree.nodes[k], tree.sums[m].sum(0), atol=1e-3)
+    assert np.allclose(tree.sums[leaf[0]], x[leaf == leaf[0]].sum(0), atol=1e-4)
+
+
 def test_features_add_up():
     x = unit(np.array([r[3] for r in mixed(4, 700)], np.float32))
     leaf, sums = clusters.cf_leaves(x)
