@@ -12,6 +12,7 @@ Defined results
 * a string that holds a JSON object, array or string counts as that JSON, at any level.
 * a repeated key of one object: the last one holds.
 * an element that is itself an array keeps its position and is no object.
+* an array of a field that isn't repeated is one value, its compact JSON (null if it nests hundreds of levels deep).
 * columns of the input other than the key and the JSON column are ignored.
 """
 
@@ -112,6 +113,24 @@ def unwrap(value):
     return value
 
 
+def json_of(value) -> str:
+    """A parsed value as compact JSON, numbers as they were written."""
+    if isinstance(value, _Num):
+        return str(value)
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{json_of(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(json_of, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
+def _array_text(value: list) -> str | None:
+    try:
+        return json_of(value)
+    except RecursionError:  # nested beyond what a cell should hold
+        return None
+
+
 @dataclass(frozen=True)
 class NestedSpec:
     """What is repeated and how groups are named.
@@ -160,7 +179,7 @@ def triples_of(root, spec: NestedSpec) -> Iterator[tuple[str, tuple[int, ...], s
                     stack.append((group, ords, below, inner))
         elif spec.wanted(group):
             if isinstance(value, list):
-                yield group, ords, path, "array", json.dumps(value, ensure_ascii=False)
+                yield group, ords, path, "array", _array_text(value)
             elif value is None:
                 yield group, ords, path, "null", None
             elif isinstance(value, bool):

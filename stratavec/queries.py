@@ -414,6 +414,8 @@ def _nested_sql() -> dict[str, str]:
     cite = _objects_sql("sec", "section_path", "citations")
     link = _objects_sql("c", "citation_path", "links")
     person = _objects_sql("(SELECT rec_no, '' AS path, j AS s FROM root WHERE json_type(j) = 'OBJECT')", "parent_path", "contributors")
+    people = f"c AS (SELECT rec_no, CAST(pos AS VARCHAR) AS path, e AS s FROM ({person}))"
+    home = _objects_sql("c", "contributor_path", "affiliations")
     text = lambda f, e="e": f"json_extract_string({e}, '$.{f}') AS {f}"
     return {
         "p1_found": f"WITH RECURSIVE {_SECTIONS_SQL} SELECT rec_no, section_path, CAST(pos AS INTEGER) AS cite_pos FROM ({cite})",
@@ -421,6 +423,11 @@ def _nested_sql() -> dict[str, str]:
             CAST(regexp_extract(path, '[0-9]+$') AS INTEGER) AS pos, {text("sid", "s")}, {text("title", "s")} FROM sec""",
         "p1_links": f"""WITH RECURSIVE {_SECTIONS_SQL}, c AS (SELECT rec_no, section_path || '.' || CAST(pos AS VARCHAR) AS path, e AS s FROM ({cite}))
             SELECT rec_no, citation_path || '.' || CAST(pos AS VARCHAR) AS link_path, citation_path, CAST(pos AS INTEGER) AS pos, {text("rel")}, {text("target")} FROM ({link})""",
+        "p1_citations": f"""WITH RECURSIVE {_SECTIONS_SQL} SELECT rec_no, section_path || '.' || CAST(pos AS VARCHAR) AS citation_path, section_path, CAST(pos AS INTEGER) AS pos, {text("cid")}, {text("year")},
+            CASE WHEN json_type(e, '$.note') <> 'OBJECT' THEN json_extract_string(e, '$.note') END AS note FROM ({cite})""",
+        "p1_affiliations": f"WITH {_ROOT_SQL}, {people} SELECT rec_no, contributor_path || '.' || CAST(pos AS VARCHAR) AS affiliation_path, contributor_path, CAST(pos AS INTEGER) AS pos, {text('org')} FROM ({home})",
+        "p1_units": f"""WITH {_ROOT_SQL}, {people}, h AS (SELECT rec_no, contributor_path || '.' || CAST(pos AS VARCHAR) AS path, e AS s FROM ({home}))
+            SELECT rec_no, affiliation_path || '.' || CAST(pos AS VARCHAR) AS unit_path, affiliation_path, CAST(pos AS INTEGER) AS pos, {text("unit")}, {text("since")} FROM ({_objects_sql("h", "affiliation_path", "units")})""",
         "p1_contributor_names": f"WITH {_ROOT_SQL} SELECT rec_no, CAST(pos AS INTEGER) AS pos, {text('name')} FROM ({person})",
     }
 
@@ -448,6 +455,14 @@ def oracle_sql() -> dict[str, str]:
         "group_by": f"""WITH {_U}, p AS ({pool}), k AS (SELECT *, coalesce({_KEY}, '') AS key FROM p),
             g AS (SELECT *, min(rank) OVER (PARTITION BY key) AS f, row_number() OVER (PARTITION BY key ORDER BY rank) AS member_rank FROM k)
             SELECT * EXCLUDE (s), round(s, 6) AS score FROM (SELECT dense_rank() OVER (ORDER BY f) AS group_rank, key, member_rank, id, score AS s FROM g) WHERE group_rank <= 5 AND member_rank <= 3""",
+        "search_plan": f"""WITH {_U}, p AS (SELECT * FROM ({pool}) WHERE score >= 0.05), k AS (SELECT *, CASE WHEN json_type(m, '$.source_url') IS NOT NULL THEN coalesce(json_extract_string(m, '$.source_url'), 'null') END AS u FROM p),
+            x AS (SELECT row_number() OVER (ORDER BY rank) AS rank, id, score, m FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY rank) AS nth FROM k) WHERE u IS NULL OR nth = 1),
+            c AS (SELECT *, coalesce({_KEY}, '') AS key FROM x), g AS (SELECT *, min(rank) OVER (PARTITION BY key) AS f, row_number() OVER (PARTITION BY key ORDER BY rank) AS member_rank FROM c)
+            SELECT * EXCLUDE (s), round(s, 6) AS score FROM (SELECT dense_rank() OVER (ORDER BY f) AS group_rank, key, member_rank, id, score AS s FROM g WHERE member_rank <= 2) WHERE group_rank <= 10""",
+        "rerank_lexical": f"""WITH {_U}, p AS ({pool}), t AS (SELECT rank AS r, id, coalesce(CASE WHEN json_type(m, '$.category') = 'VARCHAR' THEN {_CAT} END, CASE WHEN json_type(m, '$.text') = 'VARCHAR' THEN json_extract_string(m, '$.text') END, id) AS t FROM p),
+            s AS (SELECT r, id, len(list_intersect(list_distinct(string_split('{TEXT}', ' ')), regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+'))) / {len(TEXT.split())}.0 AS score FROM t)
+            SELECT row_number() OVER (ORDER BY score DESC, r) AS rank, id, round(score, 6) AS score FROM s ORDER BY rank LIMIT 10""",
+        "embed_text": "SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN text IS NOT NULL THEN 16 END AS dimension FROM documents",
         "recommend_pos": _recommend_sql(False),
         "recommend_pos_neg": _recommend_sql(True),
         "filter_geo_radius": f"SELECT CAST(event_id AS VARCHAR) AS id FROM events WHERE {haversine} <= 4000000",

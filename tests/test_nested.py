@@ -25,20 +25,22 @@ def test_unusual_input(spark):
     assert places(spark) == []
     deep = '{"sections":[' + '{"subsections":[' * 3000 + '{"citations":[{}]}' + "]}" * 3000 + "]}"
     assert [(r[0], r[1].count("."), r[2]) for r in places(spark, deep)] == [(0, 3000, 1)]
+    listed = '{"sections":[{"title":' + "[" * 5000 + "]" * 5000 + ',"citations":[{}]}]}'
+    assert places(spark, listed) == [(0, "1", 1)]
     wide = json.dumps({"sections": [{"citations": [{}] * 30_000}]})
     assert len(places(spark, wide)) == 30_000
     assert places(spark, '{"sections":[{"citations":{"n":1' + "0" * 5000 + "}}]}") == [(0, "1", 1)]
 
 
 def test_tables_keep_links_and_numbers(spark):
-    meta = {"sections": [{"sid": "s", "title": "T", "citations": [{"cid": "c", "year": 5, "note": {"by": "x"}, "links": [{"rel": "doi", "target": "t"}]}]}], "provenance": {"job": {"steps": [{"name": "fetch"}]}}, "contributors": [{"name": "n", "roles": ["a"]}]}
+    meta = {"sections": [{"sid": "s", "title": "T", "citations": [{"cid": "c", "year": 5, "note": {"by": "x"}, "links": [{"rel": "doi", "target": "t"}]}]}], "provenance": {"job": {"steps": [{"name": "fetch"}]}}, "contributors": [{"name": "n", "roles": ["a", 1, {"b": None}]}]}
     df = spark.createDataFrame([(7, json.dumps(meta).replace(" 5,", " 5.0,"))], "rec_no long, metadata string")
     t = {k: [r.asDict() for r in v.collect()] for k, v in metadata_tables(df).items()}
     assert t["sections"] == [{"rec_no": 7, "section_path": "1", "parent_path": "", "pos": 1, "sid": "s", "title": "T"}]
     assert t["citations"] == [{"rec_no": 7, "citation_path": "1.1", "section_path": "1", "pos": 1, "cid": "c", "year": "5.0", "note": None}]
     assert t["links"] == [{"rec_no": 7, "link_path": "1.1.1", "citation_path": "1.1", "pos": 1, "rel": "doi", "target": "t"}]
     assert t["steps"] == [{"rec_no": 7, "step_path": "1", "parent_path": "", "pos": 1, "name": "fetch"}]
-    assert t["contributors"][0]["roles"] == '["a"]' and t["units"] == []
+    assert t["contributors"][0]["roles"] == '["a",1,{"b":null}]' and t["units"] == []
 
 
 values = st.recursive(st.none() | st.booleans() | st.integers() | st.text(), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(), x, max_size=4), max_leaves=25)
