@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratavec.session import cut_lineage
+
 BLOCKS = 1024
 #: Longest text given to the tokenizer at once; longer ones are cut there.
 PART_CHARS = 1_000_000
@@ -135,7 +137,7 @@ def mixture(documents: DataFrame, targets: DataFrame, shards: int = 64, seed: in
 
     The documents of the block that a quota ends in are taken by hash order while they fit.
     """
-    tokens = source_tokens(documents, targets, seed, vocabulary) if tokens is None else tokens
+    tokens = cut_lineage(source_tokens(documents, targets, seed, vocabulary)) if tokens is None else tokens  # texts are read once
     blocks, target_rows = _block_table(tokens, targets)
     draws = _draws(blocks, quotas(blocks, target_rows), shards, seed)
     spark = documents.sparkSession

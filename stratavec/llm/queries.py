@@ -135,6 +135,7 @@ def _grams(of: str, key: str, n: int) -> str:
 
 def oracle_sql() -> dict[str, str]:
     """SQL that gives the same rows by comparing everything with everything; for small tables."""
+    links = "e AS MATERIALIZED (SELECT a.rec_no AS a, b.rec_no AS b FROM u a JOIN u b ON a.c = b.c AND a.s = b.s WHERE list_inner_product(a.x, b.x) >= 0.7)"
     shown, said = _WORDS.format(t=_seen("text")), _WORDS.format(t="text_content")
     return {
         "p2_found": f"""
@@ -148,13 +149,28 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS nth FROM p)
             SELECT DISTINCT least(a, b) AS rec_a, greatest(a, b) AS rec_b FROM r WHERE nth <= 5 AND s >= 0.975""",
         "p4_found": f"""
-            WITH RECURSIVE {_VECTORS}, e AS MATERIALIZED (SELECT a.rec_no AS a, b.rec_no AS b FROM u a JOIN u b ON a.c = b.c AND a.s = b.s WHERE list_inner_product(a.x, b.x) >= 0.7),
+            WITH RECURSIVE {_VECTORS}, {links},
             reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
             m AS (SELECT a AS rec_no, min(b) AS k FROM reach GROUP BY 1), big AS (SELECT k FROM m GROUP BY 1 HAVING count(*) >= 5),
             f AS MATERIALIZED (SELECT m.rec_no, k, x FROM m JOIN big USING (k) JOIN u USING (rec_no)),
             t AS (SELECT a.k, a.rec_no, avg(list_inner_product(a.x, b.x)) AS s FROM f a JOIN f b USING (k) GROUP BY 1, 2),
             top AS (SELECT k, rec_no AS top FROM t QUALIFY row_number() OVER (PARTITION BY k ORDER BY round(s, 12) DESC, rec_no) = 1)
             SELECT least(rec_no, top) AS rec_a, greatest(rec_no, top) AS rec_b FROM f JOIN top USING (k) WHERE rec_no <> top""",
+        "p4_unclustered": f"""
+            WITH RECURSIVE {_VECTORS}, {links}, reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)
+            SELECT a AS rec_no FROM reach GROUP BY 1 HAVING count(*) < 5""",
+        "p2_text_groups": f"""
+            WITH RECURSIVE d AS (SELECT rec_no, w FROM (SELECT rec_no, {said} AS w FROM records) WHERE len(w) >= 5),
+            g AS MATERIALIZED ({_grams("d", "rec_no", 5)}), n AS (SELECT rec_no, count(*) AS n FROM g GROUP BY 1),
+            p AS (SELECT a.rec_no AS a, b.rec_no AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.rec_no <> b.rec_no GROUP BY 1, 2),
+            e AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.rec_no = a JOIN n y ON y.rec_no = b WHERE k >= 0.8 * (x.n + y.n - k)),
+            reach(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+            m AS (SELECT a AS rec_no, min(b) AS k FROM reach GROUP BY 1), l AS (SELECT a AS rec_no, count(*) AS n FROM e GROUP BY 1)
+            SELECT rec_no, coalesce(least(k, rec_no), rec_no) AS "group", coalesce(n, 0) AS n_links FROM records LEFT JOIN m USING (rec_no) LEFT JOIN l USING (rec_no)""",
+        "p6_clean": f"""
+            WITH d AS (SELECT doc_id, {shown} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format(t="text")} AS w FROM eval_items),
+            dg AS ({_grams("d", "doc_id", 12)}), ig AS ({_grams("i", "item_id", 12)})
+            SELECT doc_id, page_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM dg JOIN ig USING (g))""",
         "p5_found": """
             SELECT rec_no FROM records JOIN chunk_limits USING (collection_name)
             WHERE length(text_content) > max_chars""",

@@ -124,7 +124,19 @@ def measure(text: str | None) -> tuple[int, int, float, float]:
         passage = plain[start : gap.start() if gap else len(plain)]
         start = gap.end() if gap else len(plain)
         tokens = _TOKEN.findall(passage)
-        if not tokens:
+        plain_words = _WORD.findall((_TAG_NAME.sub(" ", passage) if "<" in passage else passage).lower())
+        content = [w for w in plain_words if w not in FUNCTION_WORDS]
+        if not content:
+            continue
+        share = 1 - len(content) / len(plain_words)
+        if share <= FUNCTION_SHARE and _lists_links(passage):
+            stuffed += len(tokens)
+            codes = np.unique(plain_words, return_inverse=True)[1]
+            if share <= peak_function or not peak:
+                peak, peak_function = max(peak, autocorrelation(codes)[0]), share
+            continue
+        # a window needs so many words that recur, and a word recurs where there are more words than different ones
+        if len(plain_words) < 6 or len(content) - len(set(content)) < min(3, RECURRING * len(content) / 2):
             continue
         owner: list[int] = []
         vocabulary: dict[str, int] = {}
@@ -136,17 +148,7 @@ def measure(text: str | None) -> tuple[int, int, float, float]:
                 codes_.append(vocabulary.setdefault(w, len(vocabulary)))
                 function_.append(w in FUNCTION_WORDS)
         n = len(codes_)
-        if not n:
-            continue
         codes, function = np.array(codes_), np.array(function_)
-        share = float(function.mean())
-        if share <= FUNCTION_SHARE and _lists_links(passage):
-            stuffed += len(tokens)
-            if share <= peak_function or not peak:
-                peak, peak_function = max(peak, autocorrelation(codes)[0]), share
-            continue
-        if n < 6 or share > 0.5:
-            continue
         again = recurrence(codes, ~function)
         if again.mean() < RECURRING / 8:
             continue
