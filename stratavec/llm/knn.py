@@ -51,11 +51,15 @@ class Index:
 
     def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The nearest cells, best first."""
+        return self.nearest_with_scores(x, probes)[0]
+
+    def nearest_with_scores(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
         score = x @ self.centroids.T
         probes = min(probes, score.shape[1])
         part = np.argpartition(-score, probes - 1, axis=1)[:, :probes]
-        order = np.argsort(-np.take_along_axis(score, part, 1), axis=1, kind="stable")
-        return np.take_along_axis(part, order, 1)
+        best = np.take_along_axis(score, part, 1)
+        order = np.argsort(-best, axis=1, kind="stable")
+        return np.take_along_axis(part, order, 1), np.take_along_axis(best, order, 1)
 
     def codes(self, x: np.ndarray, cell: np.ndarray, sweeps: int = 2) -> np.ndarray:
         """Word numbers of each subspace, by coordinate descent on |e|^2 + (eta - 1) (e . x)^2."""
@@ -169,7 +173,7 @@ def _top(index: Index, q: np.ndarray, q_keys: np.ndarray, x_keys: np.ndarray, x:
 def nearest_neighbours(records: DataFrame, dim: int, k: int, key: str = "rec_no", collection: str = "collection_name", least: float | None = None, queries: Column | None = None, probes: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(key, neighbour, similarity, rank) of the k most similar rows of the same collection.
 
-    least: only neighbours of at least this similarity.  queries: which rows ask (all, if None); all rows answer.
+    least: only neighbours of at least this similarity; then cells that can't hold one aren't visited.  queries: which rows ask (all, if None); all rows answer.
     """
     asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
     vectors = usable_vectors(records.withColumn("_asks", asks), [key, collection, "_asks"], dim)
@@ -187,6 +191,9 @@ def nearest_neighbours(records: DataFrame, dim: int, k: int, key: str = "rec_no"
     heads = classes.where(F.col(key) == F.col("rep")).select(key, F.lit(True).alias("_head"))
     reps = reps.join(heads, key, "left").select(key, collection, (F.col("_asks") | F.col("_head").isNotNull()).alias("_asks"), "vec")
     reps = reps.withColumn("_asks", F.coalesce("_asks", F.lit(False)))
+    # a neighbour within the angle t of a row that lies at u from its centroid lies at u + t from it at most, and so from its
+    # own; that one is at u + 2t from the row at most
+    reach = np.inf if least is None else 2 * float(np.arccos(least)) + 1e-3
     placed_schema = f"`{key}` long, `{collection}` string, cell int, block int, member boolean, asks boolean, vec binary, code binary"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,14 +205,16 @@ def nearest_neighbours(records: DataFrame, dim: int, k: int, key: str = "rec_no"
             ask = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             raw = batch.column(3)
             x = unit(matrix(raw.to_pylist(), dim))
-            cell = ix.nearest(x, probes)
+            cell, closeness = ix.nearest_with_scores(x, probes)
+            angle = np.arccos(np.clip(closeness, -1, 1))
+            useful = angle <= angle[:, :1] + reach
             code = pack(ix.codes(x, cell[:, 0]))
             home = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % ix.blocks[cell[:, 0]]
             rows, cell_, block, member = [np.arange(len(x))], [cell[:, 0]], [home], [np.ones(len(x), bool)]
             for p in range(cell.shape[1]):
                 of = ix.blocks[cell[:, p]]
                 for b in range(int(of.max())):
-                    go = np.flatnonzero(ask & (b < of) & ((home != b) if p == 0 else True))
+                    go = np.flatnonzero(ask & useful[:, p] & (b < of) & ((home != b) if p == 0 else True))
                     rows.append(go)
                     cell_.append(cell[go, p])
                     block.append(np.full(len(go), b))

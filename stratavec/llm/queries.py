@@ -32,7 +32,7 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return knn.neighbour_pairs(knn.nearest_neighbours(table(spark, d, "records"), DIM, 5, least=0.975))
+    return knn.neighbour_pairs(knn.nearest_neighbours(table(spark, d, "records"), DIM, 5, least=0.975, probes=5))
 
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
