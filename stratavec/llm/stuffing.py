@@ -8,8 +8,8 @@ what can be spam, not out of the page's size).  In a passage three things are me
 * function words: their share, for prose of any of the known languages has many.
 
 A word stands in stuffing if, in the window of words around it, words recur unnaturally often while function words
-are all but missing, or whole phrases recur; or if it stands in a run of bare links; or in a long list of short entries, all different, without
-function words, whose entries are links or tags.  A page is flagged when more than half of its
+are all but missing, or whole phrases recur; or if it stands in a run of bare links; or in a long list of short entries without function
+words, whose entries are links or tags, all different, or come back now and then.  A page is flagged when more than half of its
 white-space-separated words do.
 
 Defined results: null, empty and blank texts aren't flagged; a page's score doesn't depend on other pages, so copies
@@ -37,8 +37,9 @@ FUNCTION_WORDS = frozenset(
 LAG, WINDOW, RECURRING, FUNCTION_SHARE = 48, 24, 0.28, 0.1
 #: Repeated phrases may hold function words ("bolsas de viaje"): there, recurring triples of words and this share.
 RECURRING_TRIPLES, PHRASE_FUNCTION_SHARE = 0.7, 0.35
-#: A list of distinct entries: at least so many entries of at most so many words.
-LIST_ENTRIES, ENTRY_WORDS = 8, 5
+#: A list of distinct entries: at least so many entries of at most so many words; and what must recur in one that has
+#: neither links nor tags, for tables and navigation have short entries too.
+LIST_ENTRIES, ENTRY_WORDS, LIST_RECURRING = 8, 5, 0.12
 
 _WORD = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(r"\S+")
@@ -112,6 +113,17 @@ def _lists_links(passage: str) -> bool:
     return marked > 0.5 * len(entries)
 
 
+_DELIMITER = re.compile(r"\s[•/|;»–-]\s|[,;]\s")
+
+
+def _short_entries(passage: str) -> bool:
+    """Short entries between delimiters, outside of tables."""
+    if "||" in passage or passage.lstrip().startswith("{|"):
+        return False
+    entries = [e for e in _DELIMITER.split(passage) if _WORD.search(e)]
+    return len(entries) >= LIST_ENTRIES and sum(len(_WORD.findall(e)) <= ENTRY_WORDS for e in entries) >= 0.9 * len(entries)
+
+
 def measure(text: str | None) -> tuple[int, int, float, float]:
     """(white-space-separated words, those in stuffing, highest autocorrelation, its passage's function-word share)."""
     if not text:
@@ -160,6 +172,8 @@ def measure(text: str | None) -> tuple[int, int, float, float]:
             for k, hit in ((0, r := recurrence(triples, all_words[2:])), (1, r), (2, r)):
                 phrase[k : n - 2 + k] |= hit
             spam |= (_window_share(phrase, all_words) >= RECURRING_TRIPLES) & (window_function <= PHRASE_FUNCTION_SHARE)
+        if share <= FUNCTION_SHARE and again.mean() >= LIST_RECURRING and _short_entries(passage):
+            spam |= True
         if spam.any():
             marks = np.zeros(len(tokens), bool)
             known = np.zeros(len(tokens), bool)

@@ -14,6 +14,7 @@ SPAM = {
     "list of links": "\n".join(f"* [http://www.s{i}.example/{i} best {n}]" for i, n in enumerate(NAMES)),
     "tags": " ".join(f"#{n.lower()} #sale" for n in NAMES),
     "different tags": " ".join(f"#{n.lower()}" for n in NAMES),
+    "tag line": "Tags: lamps / Ravel / marginal / used tyres / Quayelyo / seasonal / party hats / Eltifa / volcanic / paint rollers / Rakelmi / dormant / wool socks / Zibri / volcanic / seed mixes / Hiveldel / dormant / kitchen knives / Selselren / dormant",
     "anchors": " • ".join(f'<a href="http://x{i}.example">cheap {n}</a>' for i, n in enumerate(NAMES)),
     "categories": "\n".join(f"[[Category:Phone Cases {NAMES[i % 4]}]]" for i in range(20)),
     "goods": "\n".join(f"SKU{1000 + i} leather belts {NAMES[i % 5]} {i},99" for i in range(20)),
@@ -24,9 +25,11 @@ FINE = {
     "table": TABLE,
     "infobox": "{{Infobox river\n| name = Lomi\n| area = 109 km\n| founded = 1934\n}}",
     "navigation box": "{{Navbox\n| name = Zelrowen\n| list1 = " + " • ".join(f"[[{n}]]" for n in NAMES) + "\n}}",
+    "broken navigation box": "{{Navbox name = Zelrowen\n| list1 = " + " • ".join(f"[[{n}]]" for n in NAMES),
     "redirect": "#REDIRECT [[Orhel]]",
     "heading": "== Heading ==\n\n" + PROSE,
     "explained list": "\n".join(f"* [[{n}]] – The bridge of the town that was built in {1800 + i} by a council of the region." for i, n in enumerate(NAMES)),
+    "more gibberish": "Kivi was here!!!!\n\nkfsfj;djh;kgk;s;dlhgdjggh;dgjj;kdjjdagfgs;kkjjghkds;ksk",
     "gibberish": "qwpoe xcnvm lkjhg poiuy zmxnc vbnmq alskd jfhgu rtyqo pwiei vnxmb qhdlk",
     "null": None,
     "empty": "",
