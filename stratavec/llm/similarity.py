@@ -246,8 +246,9 @@ def text_links(records: DataFrame, threshold: float = 0.8, shingle: int = 5, min
     some = records.where(F.col(text).isNotNull())
     n = some.count()
     drawn = hash_sample(some, key, CROWD_SAMPLE, max(1, n)).select(text).toPandas()[text] if n > CROWD_SAMPLE else []
-    sample = [w for w in map(words, set(drawn)) if len(w) >= least]  # copies are compared once
-    hot = _crowded(_text_signatures(sample, shingle)[0], n, len(sample)) if sample else {}
+    drawn = sorted(set(drawn))  # copies are compared once
+    hashes = [_text_signatures(part, shingle)[0] for k in range(0, len(drawn), 1000) if (part := [w for w in map(words, drawn[k : k + 1000]) if len(w) >= least])]
+    hot = _crowded(np.concatenate(hashes), n, sum(map(len, hashes))) if hashes else {}
     shared = records.sparkSession.sparkContext.broadcast(hot)
     spread_bits = 0.5 * (1 - threshold)  # the share of sketch bits that differ at the threshold
     radius = int(BITS * spread_bits + 5 * np.sqrt(BITS * spread_bits * (1 - spread_bits)))
