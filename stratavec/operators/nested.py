@@ -222,20 +222,24 @@ def place(ords: Column | str = "ords", drop: int = 0) -> Column:
     return F.array_join(F.slice(ords, 1, F.size(ords) - drop).cast("array<string>"), ".")
 
 
-def pivot_group(triples: DataFrame, key: str, group: str, fields: Sequence[str]) -> DataFrame:
+def pivot_group(triples: DataFrame, key: str, group: str, fields: Sequence[str], elements: bool = False) -> DataFrame:
     """One row per object of a group: key, ords and its named scalar fields as text (null if absent).
 
+    elements: other elements of the group that aren't null get a row too, with what they are in ``value``.
     The triples of an object come from one task, so the partial aggregation already makes whole rows.
     """
     mine = triples.where(F.col("grp") == group)
     row = [F.max(F.when(F.col("path") == f, F.col("value"))).alias(f) for f in fields]
+    if elements:
+        row.append(F.max(F.when(F.col("path") == "", F.col("value"))).alias("value"))
     is_object = F.max((F.col("path") == "") & (F.col("kind") == "object"))
-    return mine.groupBy(key, "ords").agg(is_object.alias("_object"), *row).where("_object").drop("_object")
+    rows = mine.groupBy(key, "ords").agg(is_object.alias("_object"), *row)
+    return rows.where("_object or value is not null" if elements else "_object").drop("_object")
 
 
 # ---------------------------------------------------------------- the records of the service
 
-REPEATED = frozenset({"sections", "subsections", "citations", "links", "contributors", "affiliations", "units", "steps"})
+REPEATED = frozenset({"sections", "subsections", "citations", "links", "contributors", "affiliations", "units", "steps", "warnings", "tags"})
 RECORD_SPEC = dict(repeated=REPEATED, fold={"subsections": "sections"})
 
 
@@ -246,20 +250,49 @@ def citation_places(records: DataFrame) -> DataFrame:
     return t.select("rec_no", place(drop=1).alias("section_path"), F.element_at("ords", -1).alias("cite_pos"))
 
 
+def metadata_values(records: DataFrame) -> DataFrame:
+    """(rec_no, grp, place, path, kind, value): every value of the metadata, whatever its field is called.
+
+    An object has a row too (kind ``object``), so that one without fields isn't lost."""
+    return shred(records, "rec_no", "metadata", NestedSpec(**RECORD_SPEC)).select("rec_no", "grp", place().alias("place"), "path", "kind", "value")
+
+
 def metadata_tables(records: DataFrame) -> dict[str, DataFrame]:
-    """The flat tables of a record's metadata, each with rec_no, its place and its parent's place."""
+    """The flat tables of a record's metadata, each with rec_no, its place and its parent's place.
+
+    ``records`` has a row for each record itself, ``notes`` one for each note that is an object, with the place of
+    its citation.  Fields that no table names are in ``values``."""
 
-    def table(group: str, fields: Sequence[str], at: str, parent: str) -> DataFrame:
+    def pivoted(group: str, fields: Sequence[str], elements: bool = False) -> DataFrame:
         spec = NestedSpec(**RECORD_SPEC, groups=frozenset({group}))
-        rows = pivot_group(shred(records, "rec_no", "metadata", spec), "rec_no", group, fields)
-        return rows.select("rec_no", place().alias(at), place(drop=1).alias(parent), F.element_at("ords", -1).alias("pos"), *[F.col(f"`{f}`").alias(f.replace(".", "_")) for f in fields])
+        return pivot_group(shred(records, "rec_no", "metadata", spec), "rec_no", group, fields, elements)
+
+    def columns(fields: Sequence[str]) -> list[Column]:
+        return [F.col(f"`{f}`").alias(f.replace(".", "_")) for f in fields]
+
+    def table(group: str, fields: Sequence[str], at: str, parent: str, elements: bool = False) -> DataFrame:
+        rows = pivoted(group, fields, elements)
+        return rows.select("rec_no", place().alias(at), place(drop=1).alias(parent), F.element_at("ords", -1).alias("pos"), *columns(fields), *["value"] * elements)
+
+    def notes() -> DataFrame:
+        """An object in the place of a scalar has a triple of its own."""
+        spec = NestedSpec(**RECORD_SPEC, groups=frozenset({"sections/citations"}))
+        t = shred(records, "rec_no", "metadata", spec).where((F.col("path") == "note") | F.col("path").startswith("note."))
+        rows = t.groupBy("rec_no", "ords").agg(F.max((F.col("path") == "note") & (F.col("kind") == "object")).alias("_object"), *[F.max(F.when(F.col("path") == f"note.{f}", F.col("value"))).alias(f) for f in ("by", "marks")])
+        return rows.where("_object").select("rec_no", place().alias("citation_path"), "by", "marks")
 
+    fields = ["category", "word_count", "published_at", "source_url", "location.lat", "location.lon", "provenance.job.no"]
     return {
+        "records": pivoted("", fields).select("rec_no", *columns(fields)),
         "sections": table("sections", ["sid", "title"], "section_path", "parent_path"),
         "citations": table("sections/citations", ["cid", "year", "note"], "citation_path", "section_path"),
+        "notes": notes(),
         "links": table("sections/citations/links", ["rel", "target"], "link_path", "citation_path"),
         "contributors": table("contributors", ["name", "roles"], "contributor_path", "parent_path"),
         "affiliations": table("contributors/affiliations", ["org"], "affiliation_path", "contributor_path"),
         "units": table("contributors/affiliations/units", ["unit", "since"], "unit_path", "affiliation_path"),
         "steps": table("steps", ["name"], "step_path", "parent_path"),
+        "warnings": table("steps/warnings", ["code"], "warning_path", "step_path"),
+        "tags": table("tags", ["type", "weight"], "tag_path", "parent_path", elements=True),
+        "values": metadata_values(records),
     }

@@ -272,7 +272,7 @@ def alias_resolve(spark, d):
 
 def queries() -> dict:
     out = {"p1_found": p1_found}
-    out |= {f"p1_{name}": _metadata_table(name) for name in ("sections", "citations", "links", "contributors", "affiliations", "units", "steps")}
+    out |= {f"p1_{name}": _metadata_table(name) for name in ("records", "sections", "citations", "notes", "links", "contributors", "affiliations", "units", "steps", "warnings", "tags", "values")}
     out["p1_contributor_names"] = contributor_names
     out |= {"dense_cosine": _dense("cosine"), "dense_euclidean": _dense("euclidean"), "dense_dot": _dense("dotproduct")}
     plain = [dense_by_id, dense_filtered, batch_topk, bm25_topk, bm25_indexed, hybrid_rrf, hybrid_filtered, threshold, dedup, group_by, truncate, search_plan, rerank_lexical, ann_ivf, embed_text]
@@ -417,6 +417,9 @@ def _nested_sql() -> dict[str, str]:
     people = f"c AS (SELECT rec_no, CAST(pos AS VARCHAR) AS path, e AS s FROM ({person}))"
     home = _objects_sql("c", "contributor_path", "affiliations")
     text = lambda f, e="e": f"json_extract_string({e}, '$.{f}') AS {f}"
+    job = f"""p AS (SELECT rec_no, {_unwrapped("json_extract(j, '$.provenance')")} AS j FROM root WHERE json_type(j) = 'OBJECT'), job AS (SELECT rec_no, '' AS path, {_unwrapped("json_extract(j, '$.job')")} AS s FROM p)"""
+    step = _objects_sql("job", "parent_path", "steps")
+    tag = _objects_sql("(SELECT rec_no, '' AS path, j AS s FROM root WHERE json_type(j) = 'OBJECT')", "parent_path", "tags").removesuffix(" WHERE json_type(e) = 'OBJECT'")
     return {
         "p1_found": f"WITH RECURSIVE {_SECTIONS_SQL} SELECT rec_no, section_path, CAST(pos AS INTEGER) AS cite_pos FROM ({cite})",
         "p1_sections": f"""WITH RECURSIVE {_SECTIONS_SQL} SELECT rec_no, path AS section_path, regexp_replace(path, '[.]?[0-9]+$', '') AS parent_path,
@@ -428,6 +431,15 @@ def _nested_sql() -> dict[str, str]:
         "p1_affiliations": f"WITH {_ROOT_SQL}, {people} SELECT rec_no, contributor_path || '.' || CAST(pos AS VARCHAR) AS affiliation_path, contributor_path, CAST(pos AS INTEGER) AS pos, {text('org')} FROM ({home})",
         "p1_units": f"""WITH {_ROOT_SQL}, {people}, h AS (SELECT rec_no, contributor_path || '.' || CAST(pos AS VARCHAR) AS path, e AS s FROM ({home}))
             SELECT rec_no, affiliation_path || '.' || CAST(pos AS VARCHAR) AS unit_path, affiliation_path, CAST(pos AS INTEGER) AS pos, {text("unit")}, {text("since")} FROM ({_objects_sql("h", "affiliation_path", "units")})""",
+        "p1_records": f"""WITH {_ROOT_SQL} SELECT rec_no, {text("category", "j")}, {text("word_count", "j")}, {text("published_at", "j")}, {text("source_url", "j")}, json_extract_string(j, '$.location.lat') AS location_lat,
+            json_extract_string(j, '$.location.lon') AS location_lon, json_extract_string(j, '$.provenance.job.no') AS provenance_job_no FROM root WHERE json_type(j) = 'OBJECT'""",
+        "p1_notes": f"""WITH RECURSIVE {_SECTIONS_SQL} SELECT rec_no, section_path || '.' || CAST(pos AS VARCHAR) AS citation_path, json_extract_string(e, '$.note.by') AS "by", json_extract_string(e, '$.note.marks') AS marks
+            FROM ({cite}) WHERE json_type(e, '$.note') = 'OBJECT'""",
+        "p1_steps": f"WITH {_ROOT_SQL}, {job} SELECT rec_no, CAST(pos AS VARCHAR) AS step_path, parent_path, CAST(pos AS INTEGER) AS pos, {text('name')} FROM ({step})",
+        "p1_warnings": f"""WITH {_ROOT_SQL}, {job}, w AS (SELECT rec_no, CAST(pos AS VARCHAR) AS path, e AS s FROM ({step}))
+            SELECT rec_no, step_path || '.' || CAST(pos AS VARCHAR) AS warning_path, step_path, CAST(pos AS INTEGER) AS pos, {text("code")} FROM ({_objects_sql("w", "step_path", "warnings")})""",
+        "p1_tags": f"""WITH {_ROOT_SQL} SELECT rec_no, CAST(pos AS VARCHAR) AS tag_path, parent_path, CAST(pos AS INTEGER) AS pos, {text("type")}, {text("weight")},
+            CASE WHEN json_type(e) <> 'OBJECT' THEN json_extract_string(e, '$') END AS value FROM ({tag}) WHERE json_type(e) <> 'NULL'""",
         "p1_contributor_names": f"WITH {_ROOT_SQL} SELECT rec_no, CAST(pos AS INTEGER) AS pos, {text('name')} FROM ({person})",
     }
 

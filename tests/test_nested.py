@@ -43,6 +43,19 @@ def test_tables_keep_links_and_numbers(spark):
     assert t["contributors"][0]["roles"] == '["a",1,{"b":null}]' and t["units"] == []
 
 
+def test_tables_hold_the_whole_record(spark):
+    cites = [{"cid": "c", "note": {"by": "x", "marks": [1, 2]}}, {"cid": "d", "note": "plain"}, {"note": {}}]
+    job = {"no": 4, "steps": [None, {"name": "fetch", "warnings": [{"code": "W1"}, None, {"code": "W2", "more": 1}]}, {"warnings": {"code": "W3"}}]}
+    meta = {"category": "law", "word_count": 12, "published_at": "2022", "location": {"lat": 1.50, "lon": 2}, "provenance": {"job": job}, "tags": ["a", None, {"type": "t", "weight": 0.5}, [1]], "sections": [{"citations": cites}], "new": {"field": True}}
+    df = spark.createDataFrame([(7, json.dumps(meta)), (8, '{"tags":{"type":"u"}}'), (9, "{"), (10, None)], "rec_no long, metadata string")
+    t = {k: sorted(tuple(r) for r in v.collect()) for k, v in metadata_tables(df).items()}
+    assert t["records"] == [(7, "law", "12", "2022", None, "1.5", "2", "4"), (8, *[None] * 7)]
+    assert t["warnings"] == [(7, "2.1", "2", 1, "W1"), (7, "2.3", "2", 3, "W2"), (7, "3.1", "3", 1, "W3")]
+    assert t["tags"] == [(7, "1", "", 1, None, None, "a"), (7, "3", "", 3, "t", "0.5", None), (7, "4", "", 4, None, None, "[1]"), (8, "1", "", 1, "u", None, None)]
+    assert t["notes"] == [(7, "1.1", "x", "[1,2]"), (7, "1.3", None, None)]
+    assert {(7, "", "", "new.field", "bool", "true"), (7, "steps/warnings", "2.3", "more", "number", "1"), (7, "sections/citations", "1.1", "note.by", "string", "x")} <= set(t["values"])
+
+
 values = st.recursive(st.none() | st.booleans() | st.integers() | st.text(), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(), x, max_size=4), max_leaves=25)
 
 
