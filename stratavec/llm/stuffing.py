@@ -9,7 +9,8 @@ what can be spam, not out of the page's size).  In a passage three things are me
 
 A word stands in stuffing if, in the window of words around it, words recur unnaturally often while function words
 are all but missing, or whole phrases recur; or if it stands in a run of bare links; or in a long list of short entries without function
-words, whose entries are links or tags, all different, or come back now and then.  A page is flagged when more than half of its
+words, whose entries are links or tags, all different, or come back now and then.  Adjacent passages that are short or low in
+function words are also measured as one, for blank lines may stand between the entries of a list.  A page is flagged when more than half of its
 white-space-separated words do.
 
 Defined results: null, empty and blank texts aren't flagged; a page's score doesn't depend on other pages, so copies
@@ -47,6 +48,8 @@ _GAP = re.compile(r"\n[ \t\r]*\n")
 _NEUTRAL = re.compile(r"<!--.*?-->|<ref\b[^<>]*/>|<ref\b[^<>]*>(?:(?!<ref\b).)*?</ref\s*>|^[ \t]*=+[^=\n]+=+[ \t]*$|\A\s*#[^\W\d_]+[ \t]*:?[ \t]*\[\[[^\n]*\]\]", re.S | re.M | re.I)
 _INNER_TEMPLATE = re.compile(r"\{\{[^{}]*\}\}|\{\{\{[^{}]*\}\}\}")
 _URL = re.compile(r"(?:https?:)?//\S+|\bwww\.\S+", re.I)
+#: A link or a tag.
+_MARK = re.compile(r"(?:https?:)?//\S|\bwww\.\S|(?:^|\s)#[^\W\d_]", re.I)
 _TAG_NAME = re.compile(r"</?[a-zA-Z][\w-]*")
 _LINK_LINE = re.compile(r"\s*(?:[*#•-]+\s*|\d+[.)]\s*)?(?:\[?(?:https?:)?//\S+\]?)\s*\Z", re.I)
 _ENTRY_SPLIT = re.compile(r"\s[•/|;–-]\s|[,;\n]|(?=#[^\W\d_])|\]\]\s*(?=\[\[)")
@@ -124,69 +127,136 @@ def _short_entries(passage: str) -> bool:
     return len(entries) >= LIST_ENTRIES and sum(len(_WORD.findall(e)) <= ENTRY_WORDS for e in entries) >= 0.9 * len(entries)
 
 
+class _Passage:
+    """A passage, or adjacent ones joined: its text, tokens, words and the share of function words."""
+
+    def __init__(self, text: str, tokens: list[str] | None = None, words: list[str] | None = None):
+        self.text, self.tokens = text, _TOKEN.findall(text) if tokens is None else tokens
+        self.words = _WORD.findall((_TAG_NAME.sub(" ", text) if "<" in text else text).lower()) if words is None else words
+        self.content = [w for w in self.words if w not in FUNCTION_WORDS]
+        self.share = 1 - len(self.content) / len(self.words) if self.words else 0.0
+        self.table = "||" in text or text.lstrip().startswith("{|")
+
+
+def _lists(p: _Passage) -> bool:
+    return p.share <= FUNCTION_SHARE and _lists_links(p.text)
+
+
+def _windows_can_hold(words: list[str]) -> bool:
+    """False only if no window has few enough function words, nor can repeated triples fill the share of one."""
+    n, few = len(words), int(FUNCTION_SHARE * WINDOW)
+    at = [-1, *[i for i, w in enumerate(words) if w in FUNCTION_WORDS], n]
+    if n >= WINDOW and (len(at) - 2 <= few or any(b - a > WINDOW for a, b in zip(at, at[few + 1 :]))):
+        return True
+    # a triple that recurs covers three words, and no more than twice the surplus of triples recur
+    surplus = max(0, n - 2) - len(set(zip(words, words[1:], words[2:])))
+    return 6 * surplus >= RECURRING_TRIPLES * min(n, WINDOW)
+
+
+def _recurs(p: _Passage) -> tuple[np.ndarray | None, float]:
+    """Which tokens stand where words or phrases recur, None if none does; and the highest autocorrelation there."""
+    tokens, plain_words, content = p.tokens, p.words, p.content
+    # a window needs so many words that recur, and a word recurs where there are more words than different ones
+    if len(plain_words) < 6 or len(content) - len(set(content)) < min(3, RECURRING * len(content) / 2):
+        return None, 0.0
+    if p.share > FUNCTION_SHARE and not _windows_can_hold(plain_words):
+        return None, 0.0
+    owner: list[int] = []
+    vocabulary: dict[str, int] = {}
+    codes_: list[int] = []
+    function_: list[bool] = []
+    for k, token in enumerate(tokens):
+        for w in _WORD.findall((_TAG_NAME.sub(" ", token) if "<" in token else token).lower()):
+            owner.append(k)
+            codes_.append(vocabulary.setdefault(w, len(vocabulary)))
+            function_.append(w in FUNCTION_WORDS)
+    n = len(codes_)
+    codes, function = np.array(codes_), np.array(function_)
+    again = recurrence(codes, ~function)
+    if again.mean() < RECURRING / 8:
+        return None, 0.0
+    all_words, window_function = np.ones(n, bool), _window_share(function, np.ones(n, bool))
+    spam = (_window_share(again, ~function) >= RECURRING) & (window_function <= FUNCTION_SHARE)
+    if n >= 9 and again.mean() >= RECURRING:
+        triples = (codes[:-2] * n + codes[1:-1]) * n + codes[2:]
+        phrase = np.zeros(n, bool)
+        for k, hit in ((0, r := recurrence(triples, all_words[2:])), (1, r), (2, r)):
+            phrase[k : n - 2 + k] |= hit
+        spam |= (_window_share(phrase, all_words) >= RECURRING_TRIPLES) & (window_function <= PHRASE_FUNCTION_SHARE)
+    if p.share <= FUNCTION_SHARE and again.mean() >= LIST_RECURRING and _short_entries(p.text):
+        spam |= True
+    if not spam.any():
+        return None, 0.0
+    marks = np.zeros(len(tokens), bool)
+    known = np.zeros(len(tokens), bool)
+    own = np.array(owner)
+    known[own] = True
+    marks[own[spam]] = True
+    # a token without words (a bullet, a bar) goes with the token before it
+    last = np.maximum.accumulate(np.where(known, np.arange(len(tokens)), 0))
+    return marks[last], autocorrelation(codes[spam])[0]
+
+
+def _runs(passages: list[_Passage], joins: list[bool]) -> Iterator[list[int]]:
+    """Places of two or more adjacent passages that join."""
+    run: list[int] = []
+    for i, fits in enumerate([*joins, False]):
+        if fits:
+            run.append(i)
+        else:
+            if len(run) > 1:
+                yield run
+            run = []
+
+
+def _joined(passages: list[_Passage], run: list[int]) -> _Passage:
+    return _Passage("\n".join(passages[i].text for i in run), [t for i in run for t in passages[i].tokens], [w for i in run for w in passages[i].words])
+
+
 def measure(text: str | None) -> tuple[int, int, float, float]:
     """(white-space-separated words, those in stuffing, highest autocorrelation, its passage's function-word share)."""
     if not text:
         return 0, 0, 0.0, 0.0
     total = len(text.split())
-    plain = _without_markup(text)
-    stuffed, peak, peak_function = 0, 0.0, 0.0
-    start = 0
-    for gap in [*_GAP.finditer(plain), None]:
-        passage = plain[start : gap.start() if gap else len(plain)]
-        start = gap.end() if gap else len(plain)
-        tokens = _TOKEN.findall(passage)
-        plain_words = _WORD.findall((_TAG_NAME.sub(" ", passage) if "<" in passage else passage).lower())
-        content = [w for w in plain_words if w not in FUNCTION_WORDS]
-        if not content:
-            continue
-        share = 1 - len(content) / len(plain_words)
-        if share <= FUNCTION_SHARE and _lists_links(passage):
-            stuffed += len(tokens)
-            codes = np.unique(plain_words, return_inverse=True)[1]
-            if share <= peak_function or not peak:
-                peak, peak_function = max(peak, autocorrelation(codes)[0]), share
-            continue
-        # a window needs so many words that recur, and a word recurs where there are more words than different ones
-        if len(plain_words) < 6 or len(content) - len(set(content)) < min(3, RECURRING * len(content) / 2):
-            continue
-        owner: list[int] = []
-        vocabulary: dict[str, int] = {}
-        codes_: list[int] = []
-        function_: list[bool] = []
-        for k, token in enumerate(tokens):
-            for w in _WORD.findall((_TAG_NAME.sub(" ", token) if "<" in token else token).lower()):
-                owner.append(k)
-                codes_.append(vocabulary.setdefault(w, len(vocabulary)))
-                function_.append(w in FUNCTION_WORDS)
-        n = len(codes_)
-        codes, function = np.array(codes_), np.array(function_)
-        again = recurrence(codes, ~function)
-        if again.mean() < RECURRING / 8:
+    passages = [p for x in _GAP.split(_without_markup(text)) if (p := _Passage(x)).words]
+    marks: list[np.ndarray | None] = []
+    peak, peak_function = 0.0, 0.0
+    for p in passages:
+        found = None
+        if not p.content:
+            pass
+        elif _lists(p):
+            found = np.ones(len(p.tokens), bool)
+            if p.share <= peak_function or not peak:
+                peak, peak_function = max(peak, autocorrelation(np.unique(p.words, return_inverse=True)[1])[0]), p.share
+        else:
+            found, peak_here = _recurs(p)
+            if peak_here > peak:
+                peak, peak_function = peak_here, p.share
+        marks.append(found)
+    # what blank lines cut into pieces too small to tell: adds to what the passages show by themselves
+    full = [m is not None and m.all() for m in marks]
+    for run in _runs(passages, [not p.table and (p.share <= FUNCTION_SHARE or len(p.words) <= LAG) for p in passages]):
+        if all(full[i] for i in run):
             continue
-        all_words, window_function = np.ones(n, bool), _window_share(function, np.ones(n, bool))
-        spam = (_window_share(again, ~function) >= RECURRING) & (window_function <= FUNCTION_SHARE)
-        if n >= 9 and again.mean() >= RECURRING:
-            triples = (codes[:-2] * n + codes[1:-1]) * n + codes[2:]
-            phrase = np.zeros(n, bool)
-            for k, hit in ((0, r := recurrence(triples, all_words[2:])), (1, r), (2, r)):
-                phrase[k : n - 2 + k] |= hit
-            spam |= (_window_share(phrase, all_words) >= RECURRING_TRIPLES) & (window_function <= PHRASE_FUNCTION_SHARE)
-        if share <= FUNCTION_SHARE and again.mean() >= LIST_RECURRING and _short_entries(passage):
-            spam |= True
-        if spam.any():
-            marks = np.zeros(len(tokens), bool)
-            known = np.zeros(len(tokens), bool)
-            own = np.array(owner)
-            known[own] = True
-            marks[own[spam]] = True
-            # a token without words (a bullet, a bar) goes with the token before it
-            last = np.maximum.accumulate(np.where(known, np.arange(len(tokens)), 0))
-            stuffed += int(marks[last].sum())
-            peak_here = autocorrelation(codes[spam])[0]
+        found, peak_here = _recurs(whole := _joined(passages, run))
+        if found is not None:
+            at = 0
+            for i in run:
+                part = found[at : at + len(passages[i].tokens)]
+                at += len(part)
+                marks[i] = part if marks[i] is None else marks[i] | part
             if peak_here > peak:
-                peak, peak_function = peak_here, share
-    return total, stuffed, peak, peak_function
+                peak, peak_function = peak_here, whole.share
+    linked = [bool(_MARK.search(p.text)) for p in passages]
+    for run in _runs(passages, [not p.table and (p.share <= FUNCTION_SHARE or b and len(p.words) <= LAG) for p, b in zip(passages, linked)]):
+        if any(linked[i] and not full[i] for i in run) and _lists(whole := _joined(passages, run)):
+            for i in run:
+                if linked[i]:
+                    marks[i] = np.ones(len(passages[i].tokens), bool)
+            if whole.share <= peak_function or not peak:
+                peak, peak_function = max(peak, autocorrelation(np.unique(whole.words, return_inverse=True)[1])[0]), whole.share
+    return total, sum(int(m.sum()) for m in marks if m is not None), peak, peak_function
 
 
 def score_pages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

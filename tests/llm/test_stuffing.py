@@ -52,6 +52,33 @@ def test_ordinary_pages_are_not(name):
     assert stuffed <= 0.5 * words and (name == "prose with some spam" or stuffed == 0)
 
 
+BLANK_LINES = {
+    "short phrase": "\n\n".join(["cheap shoes online"] * 200),
+    "phrase with function words": "\n\n".join(["bolsas de viaje comprar"] * 60),
+    "bare links": "\n\n".join(f"https://shop{i}.example/coffee-mills" for i in range(30)),
+    "labelled links": "\n\n".join(f"* [http://www.s{i}.example/{i} {n}]\n* [http://www.t{i}.example/{i} {n}]" for i, n in enumerate(NAMES)),
+}
+
+
+@pytest.mark.parametrize("name", BLANK_LINES)
+def test_blank_lines_do_not_hide_stuffing(name):
+    words, stuffed, *_ = measure(BLANK_LINES[name])
+    assert stuffed > 0.5 * words
+    words, stuffed, *_ = measure(PROSE + "\n\n" + BLANK_LINES[name] + "\n\n" + PROSE)
+    assert 0 < stuffed <= len(BLANK_LINES[name].split())
+
+
+def test_headings_between_links_are_not_stuffing():
+    assert measure("\n\n".join(f"== {n} ==\n\nhttps://shop{i}.example/{n}" for i, n in enumerate(NAMES)))[1] == len(NAMES)
+
+
+def test_short_paragraphs_of_prose_are_not():
+    parts = [s.strip() + "." for s in (PROSE * 6).split(".") if s.strip()]
+    few = ["The ferry to the island runs in the summer.", "Orhel was founded in 1840.", "It is a town on the river Lomi.", "The council of the region meets in the old school.", "https://orhel.example"]
+    assert measure("\n\n".join(few))[1] == 0
+    assert measure("\n\n".join(parts[:2]))[1] == 0
+
+
 def test_whole_text_counts():
     long = PROSE * 3000
     assert measure(long)[1] == 0
