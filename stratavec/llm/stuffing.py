@@ -9,7 +9,8 @@ what can be spam, not out of the page's size).  In a passage three things are me
 
 A word stands in stuffing if, in the window of words around it, words recur unnaturally often while function words
 are all but missing, or whole phrases recur; or if it stands in a run of bare links; or in a long list of short entries without function
-words, whose entries are links or tags, all different, or come back now and then.  Adjacent passages that are short or low in
+words, whose entries are links or tags, all different, or come back now and then; navigation, tables, template remnants and
+lists whose entries are explained aren't such lists.  Adjacent passages that are short or low in
 function words are also measured as one, for blank lines may stand between the entries of a list.  A page is flagged when more than half of its
 white-space-separated words do.
 
@@ -39,8 +40,8 @@ LAG, WINDOW, RECURRING, FUNCTION_SHARE = 48, 24, 0.28, 0.1
 #: Repeated phrases may hold function words ("bolsas de viaje"): there, recurring triples of words and this share.
 RECURRING_TRIPLES, PHRASE_FUNCTION_SHARE = 0.7, 0.35
 #: A list of distinct entries: at least so many entries of at most so many words; and what must recur in one that has
-#: neither links nor tags, for tables and navigation have short entries too.
-LIST_ENTRIES, ENTRY_WORDS, LIST_RECURRING = 8, 5, 0.12
+#: neither links nor tags, for tables and navigation have short entries too.  One of DISTINCT_ENTRIES needs neither.
+LIST_ENTRIES, ENTRY_WORDS, LIST_RECURRING, DISTINCT_ENTRIES = 8, 5, 0.12, 12
 
 _WORD = re.compile(r"[^\W_]+")
 _TOKEN = re.compile(r"\S+")
@@ -117,6 +118,9 @@ def _lists_links(passage: str) -> bool:
 
 
 _DELIMITER = re.compile(r"\s[•/|;»–-]\s|[,;]\s")
+_LIST_SPLIT = re.compile(r"\s[•·/|;»–-]\s|;\s|,(?!\d)|\n")
+_EXPLAINED = re.compile(r"\w\S*\s+[–—-]\s+\w|\w\S*:\s+\S")
+_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _short_entries(passage: str) -> bool:
@@ -213,6 +217,20 @@ def _joined(passages: list[_Passage], run: list[int]) -> _Passage:
     return _Passage("\n".join(passages[i].text for i in run), [t for i in run for t in passages[i].tokens], [w for i in run for w in passages[i].words])
 
 
+def _distinct_entries(p: _Passage) -> bool:
+    """A long list of short entries that may be all different; no table, template, navigation or list with explanations."""
+    if p.table or p.share > FUNCTION_SHARE or "{{" in p.text or "}}" in p.text:
+        return False
+    entries = [e for e in _LIST_SPLIT.split(p.text) if _WORD.search(e)]
+    if len(entries) < DISTINCT_ENTRIES or sum(len(_WORD.findall(e)) <= ENTRY_WORDS for e in entries) < 0.9 * len(entries):
+        return False
+    lines = [x for x in p.text.split("\n") if x.strip()]
+    if sum(x.lstrip()[0] in "|!" for x in lines) > 0.5 * len(lines) or len(lines) >= LIST_ENTRIES and sum(bool(_EXPLAINED.search(x)) for x in lines) > 0.5 * len(lines):
+        return False
+    other = sum("[[" in e or "]]" in e or "=" in e or not _LETTER.search(e) for e in entries)
+    return other <= 0.5 * len(entries)
+
+
 def measure(text: str | None) -> tuple[int, int, float, float]:
     """(white-space-separated words, those in stuffing, highest autocorrelation, its passage's function-word share)."""
     if not text:
@@ -231,6 +249,8 @@ def measure(text: str | None) -> tuple[int, int, float, float]:
                 peak, peak_function = max(peak, autocorrelation(np.unique(p.words, return_inverse=True)[1])[0]), p.share
         else:
             found, peak_here = _recurs(p)
+            if _distinct_entries(p):
+                found = np.ones(len(p.tokens), bool)
             if peak_here > peak:
                 peak, peak_function = peak_here, p.share
         marks.append(found)
@@ -256,6 +276,11 @@ def measure(text: str | None) -> tuple[int, int, float, float]:
                     marks[i] = np.ones(len(passages[i].tokens), bool)
             if whole.share <= peak_function or not peak:
                 peak, peak_function = max(peak, autocorrelation(np.unique(whole.words, return_inverse=True)[1])[0]), whole.share
+    for run in _runs(passages, [not p.table and (p.share <= FUNCTION_SHARE or len(p.words) <= ENTRY_WORDS) for p in passages]):
+        if not all(full[i] for i in run) and _distinct_entries(_joined(passages, run)):
+            for i in run:
+                if all(len(_WORD.findall(e)) <= ENTRY_WORDS and "[[" not in e for e in _LIST_SPLIT.split(passages[i].text)):
+                    marks[i] = np.ones(len(passages[i].tokens), bool)
     return total, sum(int(m.sum()) for m in marks if m is not None), peak, peak_function
 
 

@@ -68,6 +68,29 @@ def test_blank_lines_do_not_hide_stuffing(name):
     assert 0 < stuffed <= len(BLANK_LINES[name].split())
 
 
+GOODS = [f"{a} {b}" for a, b in zip("leather garden phone wool kitchen paint seed used window bicycle party coffee".split(), "wallets hoses cases socks knives rollers mixes tyres blinds locks hats mills".split())] + ["ladders", "tea pots"]
+
+
+@pytest.mark.parametrize("text", [", ".join(GOODS), ",".join(GOODS), " • ".join(GOODS), "* " + "\n* ".join(GOODS), "\n".join(GOODS), "\n\n".join(GOODS)])
+def test_long_lists_of_different_entries(text):
+    words, stuffed, *_ = measure(text)
+    assert stuffed == words > 0
+    assert measure(PROSE + "\n\n" + text)[1] == words
+
+
+@pytest.mark.parametrize("text", [
+    ", ".join(f"[[{g}]]" for g in GOODS),
+    "\n".join(f"* [[{g}]]" for g in GOODS),
+    "\n".join(f"* {g} – goods of {NAMES[0]}" for g in GOODS),
+    "\n".join(f"* {g}: {n}" for g, n in zip(GOODS, NAMES)),
+    "\n".join(f"| name{i} = {g}" for i, g in enumerate(GOODS)),
+    ", ".join(str(37 * i) for i in range(40)),
+    ", ".join(GOODS[:5]),
+])
+def test_lists_that_are_not(text):
+    assert measure(text)[1] == 0
+
+
 def test_headings_between_links_are_not_stuffing():
     assert measure("\n\n".join(f"== {n} ==\n\nhttps://shop{i}.example/{n}" for i, n in enumerate(NAMES)))[1] == len(NAMES)
 
