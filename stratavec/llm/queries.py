@@ -21,14 +21,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_text_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups of near-duplicate texts by five words and a similarity of 0.8."""
     records = table(spark, d, "records")
-    return similarity.duplicate_groups(records, similarity.text_links(records))
+    return similarity.linked_groups(records, similarity.text_pairs(records))
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     """Groups of records that repeat another's text or values."""
     records = table(spark, d, "records")
-    links = similarity.text_links(records, 0.6, 3, 20).unionByName(similarity.vector_links(records, DIM, 0.9995))
-    return similarity.duplicate_groups(records, links)
+    return similarity.linked_groups(records, similarity.text_pairs(records, 0.6, 3, 20), similarity.vector_pairs(records, DIM, 0.9995))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -239,6 +239,12 @@ def text_links(records: DataFrame, threshold: float = 0.8, shingle: int = 5, min
 
     spread=False gives (a, b, similarity) of representatives of exact copies only (same words, whatever stands between).
     """
+    links, classes = text_pairs(records, threshold, shingle, min_words, key, text)
+    return _spread(links, classes, key) if spread else links
+
+
+def text_pairs(records: DataFrame, threshold: float = 0.8, shingle: int = 5, min_words: int | None = None, key: str = "rec_no", text: str = "text_content") -> tuple[DataFrame, DataFrame]:
+    """text_links of representatives, and the classes (key, rep, n) of exact copies they stand for."""
     least = max(min_words or 0, shingle)
     rows = records.select(F.col(key).cast("long").alias(key), plain_words(F.col(text)).alias("plain")).where((F.size(F.split("plain", " ")) >= least) & F.col(key).isNotNull())
     classes = copy_classes(rows, key, [], "plain")
@@ -281,13 +287,19 @@ def text_links(records: DataFrame, threshold: float = 0.8, shingle: int = 5, min
     found = cut_lineage(_candidates(content.mapInArrow(sign, _SIG), radius))
     both = _with_content(found, content.select(F.col(key).alias("item"), F.col("plain").alias("c"))).select("a", "b", "ca", "cb")
     links = both.mapInArrow(check, "a long, b long, similarity double")
-    return _spread(links, classes, key) if spread else links
+    return links, classes
 
 
 def vector_links(records: DataFrame, dim: int, threshold: float = 0.9995, key: str = "rec_no", within: str = "collection_name", spread: bool = True) -> DataFrame:
     """(a, b, similarity): pairs of rows of the same ``within`` whose vectors have a cosine of at least ``threshold``.
 
     Made for thresholds of 0.999 and more; the bands miss more pairs below."""
+    links, classes = vector_pairs(records, dim, threshold, key, within)
+    return _spread(links, classes, key) if spread else links
+
+
+def vector_pairs(records: DataFrame, dim: int, threshold: float = 0.9995, key: str = "rec_no", within: str = "collection_name") -> tuple[DataFrame, DataFrame]:
+    """vector_links of representatives, and the classes (key, rep, n) of exact copies they stand for."""
     rows = usable_vectors(records.select(F.col(key).cast("long").alias(key), within, "values"), [key, within], dim)
     classes = copy_classes(rows, key, [within])
     content = _representatives(rows, classes, key)
@@ -318,13 +330,56 @@ def vector_links(records: DataFrame, dim: int, threshold: float = 0.9995, key: s
     packed = F.concat("vec", F.encode(F.coalesce(F.col(within), F.lit("")), "utf-8"))  # a vector and the name it is within
     both = _with_content(found, content.select(F.col(key).alias("item"), packed.alias("c"))).select("a", "b", "ca", "cb")
     links = both.mapInArrow(check, "a long, b long, similarity double")
-    return _spread(links, classes, key) if spread else links
+    return links, classes
 
 
 def duplicate_groups(records: DataFrame, links: DataFrame, key: str = "rec_no") -> DataFrame:
-    """(key, group, n_links) of every row: the smallest key it is connected with (its own, if none) and its links."""
+    """(key, group, n_links) of every row: the smallest key it is connected with (its own, if none) and its links, as given.
+
+    Links that were spread from large classes are a star; linked_groups counts those the rows have."""
     links = cut_lineage(links.select("a", "b").distinct())
     comp = components(links, "a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     out = records.select(F.col(key).cast("long").alias(key)).join(comp.withColumnRenamed("node", key), key, "left").join(degree.withColumnRenamed("node", key), key, "left")
     return out.select(key, F.coalesce("component", key).alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def _linked_classes(links: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """(c, other, n): each class of copies with itself and those it is linked with, and how many rows the other has.
+
+    A class goes by its representative; rows without a copy or a link are in none."""
+    sizes = classes.groupBy("rep").agg(F.count_distinct(key).alias("n")).withColumnRenamed("rep", "other")
+    ends = links.select(F.explode(F.array(*[F.struct(F.col(x).alias("c"), F.col(y).alias("other")) for x, y in ("ab", "ba", "aa", "bb")])).alias("e")).select("e.*")
+    every = ends.unionByName(sizes.select(F.col("other").alias("c"), "other")).distinct()
+    return cut_lineage(every.join(sizes, "other", "left").select("c", "other", F.coalesce("n", F.lit(1)).alias("n")))
+
+
+def linked_groups(records: DataFrame, *sides: tuple[DataFrame, DataFrame], key: str = "rec_no") -> DataFrame:
+    """(key, group, n_links) of every row: the smallest key it is connected with (its own, if none) and with how many rows it is linked.
+
+    sides: one or two of (pairs of representatives, classes of copies).  No class is expanded: a row is linked with its
+    own class and the linked ones, whose sizes are added up; rows that both sides link it with are counted by (class of
+    the one side, class of the other) and taken off once.
+    """
+    sides = tuple((cut_lineage(links.select("a", "b").distinct()), classes) for links, classes in sides)
+    edges = [links.unionByName(classes.where(F.col(key) != F.col("rep")).select(F.col("rep").alias("a"), F.col(key).alias("b"))) for links, classes in sides]
+    comp = components(edges[0] if len(edges) == 1 else edges[0].unionByName(edges[1]), "a", "b")
+    out = records.select(F.col(key).cast("long").alias(key))
+    for k, (links, classes) in enumerate(sides):
+        out = out.join(classes.select(key, F.col("rep").alias(f"rep{k}")).distinct(), key, "left").withColumn(f"c{k}", F.coalesce(f"rep{k}", key)).drop(f"rep{k}")
+    out = cut_lineage(out)
+    near = [_linked_classes(links, classes, key) for links, classes in sides]
+    n_links = F.lit(-1)
+    for k, with_ in enumerate(near):
+        out = out.join(with_.groupBy("c").agg(F.sum("n").alias(f"n{k}")).withColumnRenamed("c", f"c{k}"), f"c{k}", "left")
+        n_links = n_links + F.coalesce(f"n{k}", F.lit(1))
+    if len(near) == 2:
+        cells = cut_lineage(out.where(F.col(key).isNotNull() & F.col("n0").isNotNull() & F.col("n1").isNotNull()).groupBy("c0", "c1").agg(F.count_distinct(key).alias("n")))
+        around = cells.select("c0", "c1")
+        for k, with_ in enumerate(near):
+            around = around.join(with_.select(F.col("c").alias(f"c{k}"), F.col("other").alias(f"o{k}")), f"c{k}")
+        shared = around.join(cells.select(F.col("c0").alias("o0"), F.col("c1").alias("o1"), "n"), ["o0", "o1"]).groupBy("c0", "c1").agg(F.sum("n").alias("shared"))
+        out = out.join(shared, ["c0", "c1"], "left")
+        n_links = n_links - F.coalesce("shared", F.lit(1))
+    out = out.join(comp.withColumnRenamed("node", key), key, "left")
+    return out.select(key, F.coalesce("component", key).alias("group"), F.when(F.col(key).isNull(), 0).otherwise(n_links).alias("n_links"))

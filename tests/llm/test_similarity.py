@@ -69,6 +69,24 @@ def test_large_class_of_copies_is_a_star(spark):
     assert {r.group for r in groups} == {0} and {r.rec_no: r.n_links for r in groups}[0] == 60
 
 
+@pytest.mark.parametrize("copies", [3, 51])
+def test_links_are_counted_in_classes_of_any_size(spark, copies):
+    w = [f"t{i}" for i in range(40)]
+    texts = [" ".join(w)] * copies + [" ".join([*w, "more"]), " ".join(w[:38]), "short", None] + [" ".join(f"u{i}" for i in range(30))] * 2
+    vectors = [[1.0] * 8, [1.0] * 7 + [1.001], [1.0, -1.0] * 4, None, [5.0] + [0.0] * 7]
+    rows = [(i, "ab"[i % 7 == 0], "", vectors[i % 5], t) for i, t in enumerate(texts)]
+    df = table(spark, rows)
+    near = brute(texts, 0.6, 3, 20)
+    unit = [None if v is None else np.array(v) / np.linalg.norm(v) for v in vectors]
+    close = {(a, b) for a, b in itertools.combinations(range(len(rows)), 2) if rows[a][1] == rows[b][1] and (x := unit[a % 5]) is not None and (y := unit[b % 5]) is not None and x @ y >= 0.9995}
+    for links, sides in ((near, [sim.text_pairs(df, 0.6, 3, 20)]), (near | close, [sim.text_pairs(df, 0.6, 3, 20), sim.vector_pairs(df, 8)])):
+        expected = {i: sum(i in e for e in links) for i in range(len(rows))}
+        got = sim.linked_groups(df, *sides).collect()
+        assert {r.rec_no: r.n_links for r in got} == expected and len(got) == len(rows)
+        assert {(r.rec_no, r.group) for r in got} == {(r.rec_no, r.group) for r in sim.duplicate_groups(df, spark.createDataFrame(list(links), "a long, b long")).collect()}
+    assert expected[0] >= copies
+
+
 def test_crowded_buckets_are_tiled(spark, monkeypatch):
     monkeypatch.setattr(sim, "CROWD_SAMPLE", 100)
     monkeypatch.setattr(sim, "CROWD_SEEN", 3)
