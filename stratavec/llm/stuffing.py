@@ -160,8 +160,9 @@ def _windows_can_hold(words: list[str]) -> bool:
 def _recurs(p: _Passage) -> tuple[np.ndarray | None, float]:
     """Which tokens stand where words or phrases recur, None if none does; and the highest autocorrelation there."""
     tokens, plain_words, content = p.tokens, p.words, p.content
-    # a window needs so many words that recur, and a word recurs where there are more words than different ones
-    if len(plain_words) < 6 or len(content) - len(set(content)) < min(3, RECURRING * len(content) / 2):
+    # a window, or a list, needs so many words that recur, and a word recurs where there are more words than different ones
+    least = LIST_RECURRING * len(plain_words) if p.share <= FUNCTION_SHARE else RECURRING * len(content)
+    if len(plain_words) < 6 or len(content) - len(set(content)) < min(3, least / 2):
         return None, 0.0
     if p.share > FUNCTION_SHARE and not _windows_can_hold(plain_words):
         return None, 0.0

@@ -78,6 +78,15 @@ def test_long_lists_of_different_entries(text):
     assert measure(PROSE + "\n\n" + text)[1] == words
 
 
+@pytest.mark.parametrize("text", [
+    "blue wool socks, green garden hoses, red paint rollers, small party hats, leather phone cases, old window blinds, new bicycle locks, cheap seed mixes, blue kitchen knives, green coffee mills",
+    "lamps one, hats two, lamps three, knives four, socks five, lamps six, tyres seven, blinds eight, mills nine, locks ten",
+])
+def test_short_lists_with_few_words_that_come_back(text):
+    words, stuffed, *_ = measure(text)
+    assert stuffed == words > 0
+
+
 @pytest.mark.parametrize("text", [
     ", ".join(f"[[{g}]]" for g in GOODS),
     "\n".join(f"* [[{g}]]" for g in GOODS),
