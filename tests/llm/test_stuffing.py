@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from stratavec.llm.stuffing import autocorrelation, measure, recurrence, stuffed_pages
+from stratavec.llm import stuffing
+from stratavec.llm.stuffing import _gaps, autocorrelation, measure, measure_pages, regularity, score_pages, stuffed_pages
 
 PROSE = "The old harbour of the town was rebuilt in 1840 by the council, and it has been used for the trade in tea since that time. Visitors reach the tower by a narrow bridge that was opened in the spring of 1902. "
 NAMES = ["Orhel", "Micece", "Mertor", "Ziqua", "Velgari", "Fetelta", "Kibedel", "Telyo", "Lomi", "Paca", "Nail", "Umsi", "Vorja", "Gaca"]
@@ -118,11 +119,56 @@ def test_whole_text_counts():
     assert stuffed == words - measure(long)[0]
 
 
-def test_recurrence_and_autocorrelation():
-    codes = np.array([0, 1, 2, 0, 1, 2, 3])
-    assert recurrence(codes, np.ones(7, bool), 3).tolist() == [True] * 6 + [False]
-    assert not recurrence(codes, np.ones(7, bool), 2).any()
-    assert autocorrelation(codes) == (0.75, 3) and autocorrelation(np.array([1])) == (0.0, 0)
+def test_gaps_and_autocorrelation():
+    codes, one = np.array([0, 1, 2, 0, 1, 2, 0, 3]), np.zeros(8, int)
+    back, ahead = _gaps(codes, one)
+    assert back.tolist() == [0, 0, 0, 3, 3, 3, 3, 0] and ahead.tolist() == [3, 3, 3, 3, 0, 0, 0, 0]
+    assert regularity(back, ahead, one).tolist() == [True] * 7 + [False]
+    assert autocorrelation(codes, one, band=1)[0] == 7 / 8
+    assert _gaps(codes, np.array([0] * 3 + [1] * 5))[0].tolist() == [0, 0, 0, 0, 0, 0, 3, 0]
+    assert not autocorrelation(np.arange(9), np.zeros(9, int)).any() and autocorrelation(np.array([1]), np.zeros(1, int)).tolist() == [0]
+
+
+def _words(n, seed):
+    letters = np.random.default_rng(seed).integers(97, 123, (n, 7))
+    return ["".join(map(chr, w)) for w in letters]
+
+
+def test_each_measure_decides(monkeypatch):
+    """Long blocks that come back evenly need the gaps; slots filled at random need the autocorrelation."""
+    blocks = " ".join(_words(120, 1) * 4)
+    rng = np.random.default_rng(2)
+    towns, goods, calls = _words(60, 3), _words(4, 4), _words(5, 5)
+    slots = " ".join(f"{towns[rng.integers(60)]} {goods[rng.integers(4)]} {calls[rng.integers(5)]}" for _ in range(80))
+    assert measure(blocks)[:2] == (480, 480) and measure(slots)[1] > 0.9 * 240
+    with monkeypatch.context() as m:
+        m.setattr(stuffing, "regularity", lambda back, ahead, segment: np.zeros(len(back), bool))
+        assert measure(blocks)[1] == 0 and measure(slots)[1] > 0.9 * 240
+    with monkeypatch.context() as m:
+        m.setattr(stuffing, "autocorrelation", lambda codes, segment: np.zeros(len(codes)))
+        assert measure(blocks)[1] == 480 and measure(slots)[1] < 0.5 * 240
+
+
+def test_prose_of_an_unknown_language_is_fine():
+    prose = "Il porto della contrada fu ampliato nel 1840 dalla giunta, e serve ancora oggi alla pesca. Chi arriva vede subito la torre che fu alzata nel 1902. Dopo la guerra il comune comprò i magazzini, li riparò e vi aprì una scuola per marinai. "
+    assert measure(prose)[1] == 0
+
+
+def test_templates_of_any_depth_and_open_ones():
+    deep = "{{a|" * 30 + "cheap hoses sale hoses best hoses free hoses " * 4 + "}}" * 30
+    assert measure(deep)[1] == 0 and measure("{{{{{x}}}}} " + PROSE)[1] == 0
+    assert measure("{{ " + SPAM["keywords"])[1] > 0 and measure("}} {{" + SPAM["keywords"])[1] > 0
+
+
+def test_pages_are_measured_alone():
+    texts = [*SPAM.values(), *FINE.values(), SPAM["tags"], "", None, "𝒳𝒴 𝒳𝒴"]
+    assert measure_pages(texts) == [measure(t) for t in texts]
+
+
+def test_lists_of_many_different_nouns():
+    nouns = _words(400, 7)
+    for text in (", ".join(nouns), "\n".join(nouns), ", ".join(f"noun{k}" for k in range(400))):
+        assert measure(text)[:2] == (400, 400)
 
 
 def test_pages(spark):
