@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratavec.llm import chunks, clusters, knn, leakage, mixing, similarity, stuffing
-from stratavec.session import table
+from stratavec.session import cut_lineage, table
 
 
 DIM = 96  #: of the records' usable vectors
@@ -79,8 +79,15 @@ def p6_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.without_leaks(documents.select("doc_id", "page_id", "n_chars"), leakage.find_leaks(documents, table(spark, d, "eval_items")))
 
 
+def _reached(spark: SparkSession, d: str) -> DataFrame:
+    documents, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    tokens = cut_lineage(mixing.source_tokens(documents, targets))
+    return mixing.reached(mixing.mixture(documents, targets, tokens=tokens), targets, tokens)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets")).where("not reachable").select("source")
+    """Sources that are short of their share in the mixture that was drawn."""
+    return _reached(spark, d).where("short").select("source")
 
 
 def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
@@ -88,8 +95,13 @@ def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_reached(spark: SparkSession, d: str) -> DataFrame:
-    targets = table(spark, d, "mix_targets")
-    return mixing.reached(mixing.mixture(table(spark, d, "documents"), targets), targets)
+    return _reached(spark, d)
+
+
+def p7_checked(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the mixture whatever the tokenizer: see the SQL."""
+    r = _reached(spark, d)
+    return r.select("source", "short", F.when(F.col("short"), F.col("n_rows")).alias("rows_if_short"), (F.col("copies") <= F.col("max_repeats")).alias("within_repeats"), (F.col("off_quota") <= F.col("longest")).alias("at_quota"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -182,4 +194,9 @@ def oracle_sql() -> dict[str, str]:
             WITH d AS (SELECT lower(trim(source, chr(9) || chr(10) || chr(13) || ' ')) AS source, length(text) AS size FROM documents),
             t AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(sum(d.size), 0) AS size FROM mix_targets m LEFT JOIN d USING (source) GROUP BY ALL)
             SELECT source FROM t WHERE max_repeats * size < target_share * (SELECT sum(size) FROM t)""",
+        "p7_checked": """
+            WITH d AS (SELECT lower(trim(source, chr(9) || chr(10) || chr(13) || ' ')) AS source, length(text) AS size FROM documents),
+            t AS (SELECT m.source, m.target_share, m.max_repeats, coalesce(sum(d.size), 0) AS size, count(d.source) AS n FROM mix_targets m LEFT JOIN d USING (source) GROUP BY ALL),
+            s AS (SELECT *, max_repeats * size < target_share * (SELECT sum(size) FROM t) AS short FROM t)
+            SELECT source, short, CASE WHEN short THEN n * max_repeats END AS rows_if_short, true AS within_repeats, true AS at_quota FROM s""",
     }
