@@ -11,13 +11,23 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir, which executors share; it outlives the loss of any.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder as a URI, which executors share: that of the session, else that of spark.checkpoint.dir.
 
-    Only where the setting is missing (tests, one machine) a temporary folder is used.
+    Where neither is set, a session on this machine alone gets a temporary folder; on a cluster that is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder; it outlives the loss of any executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
