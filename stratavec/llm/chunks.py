@@ -1,7 +1,7 @@
 """Oversized texts cut at natural boundaries, with an exact overlap.
 
 A text is looked at in ranges.  A worker finds the boundaries that end in its range, reading a halo on either
-side; the boundary tables are stitched, range lengths are prefix-summed into offsets, a plan of pieces is made
+side; range lengths are prefix-summed into offsets, the boundary tables are stitched, a plan of pieces is made
 from the tables alone, and the pieces are then emitted by offset.  Texts in a column go through the same steps
 range by range within their row; files are never loaded whole and their ranges are spread over the cluster.
 
@@ -12,25 +12,30 @@ unless there is none of any kind there; then any boundary beyond the overlap.  T
 
 Defined results: null, empty and short texts and texts whose collection has no limit give no pieces; an overlap
 that isn't smaller than the limit counts as limit - 1; a limit below 1 is an error; sizes are code points.
-White space runs longer than the halo are ranked by what the halo shows of them.
+A halo grows over white space, so neither boundaries nor pieces depend on the size of ranges.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratavec.session import cut_lineage
+
 WORD, SENTENCE, PARAGRAPH = 1, 2, 3
 KINDS = ("limit", "word", "sentence", "paragraph", "end")
-RANGE_CHARS, HALO = 1 << 20, 1024
-#: Bytes of a file range, and ranges of a segment: pieces are planned in one task per segment.
-RANGE_BYTES, SEGMENT_RANGES = 1 << 20, 64
+#: Characters of a range of a text, and of the halo on either side.
+RANGE_CHARS, HALO = 1 << 12, 64
+#: Bytes of a file range and its halo, and ranges of a segment: pieces are planned in one task per segment.
+RANGE_BYTES, HALO_BYTES, SEGMENT_RANGES = 1 << 20, 4096, 64
 
 _SPACE = re.compile(r"\s+")
 _CLOSERS = "\"'”’»)]}›」』"
@@ -58,10 +63,19 @@ def boundaries(text: str, first: int = 0, last: int | None = None) -> tuple[np.n
 
 
 def range_boundaries(read, start: int, end: int, size: int, halo: int = HALO) -> tuple[np.ndarray, np.ndarray]:
-    """Boundary table of the range [start, end) of a text of ``size`` characters; read(a, b) gives its text."""
+    """Boundary table of the range [start, end) of a text of ``size`` characters, by offsets in the range; read(a, b) gives its text.
+
+    A halo that begins or ends in white space is widened, for a boundary's rank is that of the whole run."""
     a, b = max(0, start - halo), min(size, end + halo)
-    at, rank = boundaries(read(a, b), start - a, end - a)
-    return at + a, rank
+    while True:
+        text = read(a, b)
+        left, right = a > 0 and text[:1].isspace(), b < size and text[-1:].isspace()
+        if not (left or right):
+            break
+        halo *= 2
+        a, b = max(0, a - halo * left), min(size, b + halo * right)
+    at, rank = boundaries(text, start - a, end - a)
+    return at + (a - start), rank
 
 
 def stitch(tables: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,17 +115,20 @@ def split_text(text: str, limit: int, overlap: int, range_chars: int = RANGE_CHA
     if limit < 1:
         raise ValueError("the limit must be 1 or more")
     n = len(text)
-    if n <= limit:
+    lengths = [min(range_chars, n - s) for s in range(0, n, range_chars)]
+    offsets = np.cumsum([0, *lengths])
+    if offsets[-1] <= limit:
         return []
-    tables = [range_boundaries(lambda a, b: text[a:b], s, min(n, s + range_chars), n, halo) for s in range(0, n, range_chars)]
-    return plan_pieces(*stitch(tables), 0, n, limit, overlap)
+    tables = [range_boundaries(lambda a, b: text[a:b], int(s), int(e), n, halo) for s, e in zip(offsets, offsets[1:])]
+    return plan_pieces(*stitch([(at + s, rank) for (at, rank), s in zip(tables, offsets)]), 0, n, limit, overlap)
 
 
 def split_column(df: DataFrame, key: str, text: str, limit: str = "max_chars", overlap: str = "overlap_chars", with_text: bool = True, range_chars: int = RANGE_CHARS) -> DataFrame:
     """Pieces (key, piece_no from 1, n_pieces, start, end, cut, [text]) of the rows whose text is over their limit."""
     kind = df.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, piece_no int, n_pieces int, start long, end long, cut string" + ", text string" * with_text
-    big = df.where(F.length(text) > F.col(limit)).select(F.col(key), F.col(text), F.col(limit).cast("long"), F.coalesce(F.col(overlap).cast("long"), F.lit(0)))
+    # a text has no more characters than bytes, so this leaves all that can be too long; their lengths are summed over the ranges
+    big = df.where(F.octet_length(text) > F.col(limit)).select(F.col(key), F.col(text), F.col(limit).cast("long"), F.coalesce(F.col(overlap).cast("long"), F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,54 +183,80 @@ def _read_range(path: str, start: int, end: int, size: int, before: int, after:
     return left + middle + tail.decode("utf-8", "ignore"), len(left), len(left) + len(middle)
 
 
-def split_files(spark, paths: str | list[str], limit: int, overlap: int, range_bytes: int = RANGE_BYTES, halo: int = HALO, segment_ranges: int = SEGMENT_RANGES) -> DataFrame:
-    """Pieces (path, segment, piece_no within the segment, start, end, cut, text) of UTF-8 text files over the limit.
+def _file_range(path: str, r: int, range_bytes: int, size: int, halo: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(characters, boundary offsets, ranks) of a range of a file; the halo grows over white space."""
+    start, end = r * range_bytes, min(size, (r + 1) * range_bytes)
+    before = after = halo
+    while True:
+        text, a, b = _read_range(path, start, end, size, before, after)
+        left, right = start - before > 0 and text[:1].isspace(), end + after < size and text[-1:].isspace()
+        if not (left or right):
+            break
+        before, after = before * (1 + left), after * (1 + right)
+    at, rank = boundaries(text, a, b)
+    return b - a, at - a, rank
 
-    Offsets are characters of the file.  A segment begins at the best boundary after its first byte, so that
-    files of any size are planned by many tasks; the first piece of a later segment reaches ``overlap`` characters
-    back.  Bytes that aren't UTF-8 count as the replacement character.
-    """
+
+def _packed(at: np.ndarray, rank: np.ndarray) -> bytes:
+    """A boundary table in a byte or two a boundary: gaps and ranks, deflated."""
+    return zlib.compress((np.diff(at, prepend=0).astype(np.uint32) << np.uint32(2) | rank.astype(np.uint32)).tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(raw), np.uint32)
+    return np.cumsum((both >> np.uint32(2)).astype(np.int64)), (both & np.uint32(3)).astype(np.int8)
+
+
+def split_files(spark, paths: str | list[str], limit: int, overlap: int, **sizes: int) -> DataFrame:
+    """split_file_table of all files of ``paths``, with one limit."""
     if limit < 1:
         raise ValueError("the limit must be 1 or more")
-    overlap = max(0, min(overlap, limit - 1))
-    files = spark.read.format("binaryFile").load(paths).select("path", "length").where(F.col("length") > 0)
-    ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {range_bytes}"))).alias("r"))
-    ranges = ranges.repartition("path", "r")
-    span = 4 * limit // 8 if limit >= 16 else 1
+    files = spark.read.format("binaryFile").load(paths).select("path", "length")
+    return split_file_table(files.select("path", "length", F.lit(limit).alias("max_chars"), F.lit(overlap).alias("overlap_chars")), **sizes)
+
+
+def split_file_table(files: DataFrame, range_bytes: int = RANGE_BYTES, halo: int = HALO_BYTES, segment_ranges: int = SEGMENT_RANGES) -> DataFrame:
+    """Pieces (path, segment, piece_no within the segment, start, end, cut, text) of the UTF-8 text files over their limit.
+
+    files: (path, length in bytes, max_chars, overlap_chars).  Offsets are characters of the file.  A file of up to
+    ``segment_ranges`` ranges is cut as split_text cuts its text.  A larger one has several segments, so that files of any size are
+    planned by many tasks: a segment begins at the best boundary after its first byte, and its first piece reaches ``overlap``
+    characters back.  Bytes that aren't UTF-8 count as the replacement character.
+    """
+    files = files.where(F.col("length") > 0).select("path", "length", F.col("max_chars").cast("long"), F.coalesce(F.col("overlap_chars").cast("long"), F.lit(0).cast("long")).alias("overlap_chars"))
+    ranges = files.select("path", "length", "max_chars", "overlap_chars", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {range_bytes}"))).alias("r"))
 
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for path, size, r in batch.itertuples(index=False):
-                text, a, b = _read_range(path, r * range_bytes, min(size, (r + 1) * range_bytes), size, 4 * halo, 4 * halo)
-                at, rank = boundaries(text, a, b)
-                at = at - a
-                best = {}  # of each rank, the last boundary in each eighth of the limit
-                for p, k in zip(at.tolist(), rank.tolist()):
-                    best[(k, p * 8 // limit if span > 1 else p)] = p
-                kept = sorted((p, k) for (k, _), p in best.items())
-                rows.append((path, size, r, b - a, [p for p, _ in kept], [k for _, k in kept]))
-            yield pd.DataFrame(rows, columns=["path", "length", "r", "chars", "at", "kinds"])
-
-    from pyspark.sql import Window
-
-    found = ranges.mapInPandas(tables, "path string, length long, r long, chars long, at array<long>, kinds array<int>")
-    cache = found.withColumn("first_char", F.sum("chars").over(Window.partitionBy("path").orderBy("r")) - F.col("chars"))
-    cache = cache.withColumn("total", F.sum("chars").over(Window.partitionBy("path"))).where(F.col("total") > limit)
-    own = cache.withColumn("segment", F.expr(f"r div {segment_ranges}"))
+            for path, size, limit, overlap, r in batch.itertuples(index=False):
+                if limit < 1:
+                    raise ValueError("the limit must be 1 or more")
+                chars, at, rank = _file_range(path, r, range_bytes, size, halo)
+                rows.append((path, size, limit, overlap, r, chars, _packed(at, rank)))
+            yield pd.DataFrame(rows, columns=["path", "length", "max_chars", "overlap_chars", "r", "chars", "table"])
+
+    known = "path string, length long, max_chars long, overlap_chars long, r long"
+    found = cut_lineage(ranges.repartition("path", "r").mapInPandas(tables, f"{known}, chars long, table binary"))  # files are read once for it
+    lengths = found.select("path", "r", "chars")  # three numbers a range are all that a file's prefix sums need in one place
+    file = Window.partitionBy("path")
+    offsets = lengths.select("path", "r", (F.sum("chars").over(file.orderBy("r")) - F.col("chars")).alias("first_char"), F.sum("chars").over(file).alias("total"))
+    own = found.join(offsets, ["path", "r"]).where(F.col("total") > F.col("max_chars")).withColumn("segment", F.expr(f"r div {segment_ranges}"))
     next_ = own.where((F.col("r") % segment_ranges == 0) & (F.col("r") > 0)).withColumn("segment", F.col("segment") - 1)
 
     def plan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         path, segment = key
         pdf = pdf.sort_values("r")
-        at, rank = stitch([(np.array(a, np.int64) + f, np.array(k, np.int8)) for a, k, f in zip(pdf["at"], pdf["kinds"], pdf["first_char"])])
+        limit = int(pdf.max_chars.iloc[0])
+        overlap = max(0, min(int(pdf.overlap_chars.iloc[0]), limit - 1))
+        at, rank = stitch([(a + f, k) for (a, k), f in zip(map(_unpacked, pdf["table"]), pdf["first_char"])])
         mine, after = pdf[pdf.r < (segment + 1) * segment_ranges], pdf[pdf.r >= (segment + 1) * segment_ranges]
 
         def edge(first: pd.DataFrame) -> int:
             """Where the segment of these ranges begins: seen from either side, so by its first range alone."""
             x, chars = int(first.first_char.iloc[0]), int(first.chars.iloc[0])
-            near = [(k, -p) for p, k in zip(at.tolist(), rank.tolist()) if x < p <= x + min(limit, chars)]
-            return -max(near)[1] if near else x
+            low, high = np.searchsorted(at, [x, x + min(limit, chars)], "right")
+            return int(at[low + int(rank[low:high].argmax())]) if high > low else x
 
         total = int(pdf.total.iloc[0])
         begin = edge(mine) - overlap if segment else 0
@@ -231,9 +274,31 @@ def split_files(spark, paths: str | list[str], limit: int, overlap: int, range_b
         path, r = key
         size = int(pdf.length.iloc[0])
         back = max(0, int((pdf.first_char - pdf.start).max()))
-        text, a, _ = _read_range(path, r * range_bytes, min(size, (r + 1) * range_bytes), size, 4 * (back + 1), 4 * (limit + 1))
+        ahead = int((pdf.end - pdf.start).max())
+        text, a, _ = _read_range(path, r * range_bytes, min(size, (r + 1) * range_bytes), size, 4 * (back + 1), 4 * (ahead + 1))
         base = int(pdf.first_char.iloc[0]) - a
         pdf["text"] = [text[s - base : e - base] for s, e in zip(pdf.start, pdf.end)]
         return pdf[["path", "segment", "piece_no", "start", "end", "cut", "text"]]
 
     return plans.groupBy("path", "r").applyInPandas(emit, "path string, segment long, piece_no int, start long, end long, cut string, text string")
+
+
+def write_texts(rows: DataFrame, by: list[str], order: str, text: str, folder: str) -> DataFrame:
+    """(by..., path, length): one UTF-8 file for each group, of its texts in their order with blank lines between; nulls are left out.
+
+    For groups that fit into memory.  A task that is repeated writes the same bytes to the same path."""
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in by}
+
+    def write(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        name = hashlib.sha1(repr(key).encode()).hexdigest()
+        raw = "\n\n".join(pdf.sort_values(order)[text]).encode()
+        system, at = fs.FileSystem.from_uri(f"{folder}/{name}.txt")
+        system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+        with system.open_output_stream(at) as f:
+            f.write(raw)
+        return pd.DataFrame([(*key, f"{folder}/{name}.txt", len(raw))], columns=[*by, "path", "length"])
+
+    have = rows.where(F.col(text).isNotNull()).select(*by, order, text)
+    return have.groupBy(*by).applyInPandas(write, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", path string, length long")

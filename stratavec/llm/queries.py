@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratavec.llm import chunks, clusters, knn, leakage, mixing, similarity, stuffing
-from stratavec.session import cut_lineage, table
+from stratavec.session import cut_lineage, shared_folder, table
 
 
 DIM = 96  #: of the records' usable vectors
@@ -60,6 +62,35 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     return chunks.split_column(chunks.with_limits(table(spark, d, "records"), table(spark, d, "chunk_limits")), "rec_no", "text_content")
 
 
+def p5_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of each record that was cut: what its pieces, put together again, hash to, and whether they keep the limit and the overlap."""
+    limited = chunks.with_limits(table(spark, d, "records"), table(spark, d, "chunk_limits"))
+    pieces = chunks.split_column(limited, "rec_no", "text_content")
+    return _put_together(pieces.join(limited.select("rec_no", "max_chars", "overlap_chars"), "rec_no"), ["rec_no"])
+
+
+def _put_together(pieces: DataFrame, by: list[str]) -> DataFrame:
+    w = Window.partitionBy(*by).orderBy("start")
+    before = F.lag("end").over(w)
+    own = pieces.withColumn("_own", F.when(before.isNull(), F.col("text")).otherwise(F.expr("substring(text, cast(overlap_chars + 1 as int))"))).withColumn("_in_place", F.coalesce(F.col("start") == before - F.col("overlap_chars"), F.col("start") == 0))
+    parts = F.array_sort(F.collect_list(F.struct("start", "_own")))  # the pieces of one text
+    fits = F.bool_and((F.length("text") <= F.col("max_chars")) & (F.length("text") == F.col("end") - F.col("start")) & F.col("_in_place"))
+    return own.groupBy(*by).agg(F.md5(F.array_join(F.transform(parts, lambda p: p["_own"]), "")).alias("content"), F.max("end").alias("n_chars"), fits.alias("fits"))
+
+
+FILE_RECORDS = 1000  #: consecutive numbers of the records whose texts make one file
+
+
+def p5_files(spark: SparkSession, d: str) -> DataFrame:
+    """The texts of a collection as files of FILE_RECORDS record numbers in the shared folder, cut by byte ranges and put together again."""
+    folder = f"{shared_folder(spark)}/texts-{uuid.uuid4().hex}"
+    limited = chunks.with_limits(table(spark, d, "records"), table(spark, d, "chunk_limits")).withColumn("part", F.expr(f"rec_no div {FILE_RECORDS}"))
+    written = cut_lineage(chunks.write_texts(limited, ["collection_name", "part", "max_chars", "overlap_chars"], "rec_no", "text_content", folder))
+    pieces = chunks.split_file_table(written, range_bytes=1 << 16)
+    whole = _put_together(pieces.join(written, "path"), ["collection_name", "part"])
+    return whole.select("collection_name", "part", "content", "n_chars", "fits")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -185,6 +216,13 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": """
             SELECT rec_no FROM records JOIN chunk_limits USING (collection_name)
             WHERE length(text_content) > max_chars""",
+        "p5_whole": """
+            SELECT rec_no, md5(text_content) AS content, length(text_content) AS n_chars, true AS fits FROM records JOIN chunk_limits USING (collection_name)
+            WHERE length(text_content) > max_chars""",
+        "p5_files": f"""
+            WITH t AS (SELECT collection_name, rec_no // {FILE_RECORDS} AS part, max_chars, string_agg(text_content, chr(10) || chr(10) ORDER BY rec_no) AS t
+                FROM records JOIN chunk_limits USING (collection_name) WHERE text_content IS NOT NULL GROUP BY ALL)
+            SELECT collection_name, part, md5(t) AS content, length(t) AS n_chars, true AS fits FROM t WHERE length(t) > max_chars""",
         "p6_found": f"""
             WITH d AS (SELECT doc_id, {shown} AS w FROM documents), i AS (SELECT item_id, {_WORDS.format(t="text")} AS w FROM eval_items),
             dg AS ({_grams("d", "doc_id", 12)}), ig AS ({_grams("i", "item_id", 12)})

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratavec.llm.chunks import split_column, split_files, split_text, with_limits
+from stratavec.llm.chunks import RANGE_CHARS, split_column, split_files, split_text, with_limits
 
 parts = st.lists(st.sampled_from(["a", "bc ", ". ", "\n\n", "é", "山 ", "x! ", "  ", "Lorem ipsum. ", '."\n', "\t", "𝒳"]), max_size=200).map("".join)
 
@@ -11,7 +11,7 @@ parts = st.lists(st.sampled_from(["a", "bc ", ". ", "\n\n", "é", "山 ", "x! ",
 @settings(max_examples=300, deadline=None)
 def test_round_trip(text, limit, overlap, size):
     whole = split_text(text, limit, overlap)
-    assert whole == split_text(text, limit, overlap, range_chars=size, halo=len(text))
+    assert whole == split_text(text, limit, overlap, range_chars=size, halo=1 + size % 7)
     if len(text) <= limit:
         assert whole == []
         return
@@ -63,3 +63,17 @@ def test_files(spark, tmp_path, limit, overlap):
             assert r.start == max(0, end - overlap)
             end = r.end
         assert end == len(texts[name])
+
+
+@pytest.mark.parametrize(("limit", "overlap"), [(300, 40), (1000, 100)])
+def test_files_are_cut_like_columns(spark, tmp_path, limit, overlap):
+    import random
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a", "bc ", ". ", "\n\n", "é", "山 ", "Lorem ipsum dolor. ", " " * 900, "x" * 200]) for _ in range(3000)) for _ in range(3)]
+    for k, text in enumerate(texts):
+        (tmp_path / f"{k}.txt").write_text(text, encoding="utf-8", newline="")
+    got = {(int(r.path[-5]), r.start, r.end, r.cut, r.text) for r in split_files(spark, f"file://{tmp_path}", limit, overlap, range_bytes=1 << 14, halo=8).collect()}
+    records = spark.createDataFrame([(k, text, limit, overlap) for k, text in enumerate(texts)], "rec_no long, text string, max_chars int, overlap_chars int")
+    assert got == {(r.rec_no, r.start, r.end, r.cut, r.text) for r in split_column(records, "rec_no", "text").collect()}
+    assert min(map(len, texts)) > 4 * RANGE_CHARS
