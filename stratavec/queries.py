@@ -68,7 +68,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _metadata_table(name: str):
-    return lambda spark, d: nested.metadata_tables(table(spark, d, "records"))[name]
+    return lambda spark, d: nested.metadata_table(table(spark, d, "records"), name)
 
 
 def contributor_names(spark, d):

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratavec.operators.nested import RECORD_SPEC, NestedSpec, _parse_deep, citation_places, metadata_tables, parse_json, triples_of, unwrap
+from stratavec.operators.nested import RECORD_SPEC, NestedSpec, citation_places, metadata_tables, triples_of
 
 
 def places(spark, *metadata):
@@ -59,33 +59,98 @@ def test_tables_hold_the_whole_record(spark):
 values = st.recursive(st.none() | st.booleans() | st.integers() | st.text(), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(), x, max_size=4), max_leaves=25)
 
 
-@given(values)
-@settings(max_examples=150, deadline=None)
-def test_the_two_parsers_agree(value):
-    text = json.dumps(value)
-    assert parse_json(text) == _parse_deep(text)
-    assert parse_json(json.dumps(value, indent=1)) == _parse_deep(json.dumps(value, indent=1))
+class Num(str):
+    pass
+
+
+def tree_triples(root, spec):
+    """The same from a parsed tree: the plain way to what the reader of tokens must give."""
+
+    def parsed(text):
+        def no(name):
+            raise ValueError(name)
+
+        return json.loads(text, parse_int=Num, parse_float=Num, parse_constant=no)
+
+    def unwrap(v):
+        while type(v) is str and v.lstrip(" \t\n\r")[:1] in ("{", "[", '"'):
+            try:
+                v = parsed(v)
+            except ValueError:
+                break
+        return v
+
+    def text_of(v):
+        if isinstance(v, Num):
+            return str(v)
+        if isinstance(v, dict):
+            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{text_of(x)}" for k, x in v.items()) + "}"
+        return "[" + ",".join(map(text_of, v)) + "]" if isinstance(v, list) else json.dumps(v, ensure_ascii=False)
+
+    def walk(group, ords, path, v):
+        if isinstance(v, dict):
+            if spec.wanted(group):
+                yield group, ords, path, "object", None
+            for name, x in v.items():
+                x, below = unwrap(x), f"{path}.{name}" if path else name
+                if name in spec.repeated and isinstance(x, (list, dict)):
+                    g = spec.group(group, name)
+                    if spec.leads(g):
+                        for k, e in enumerate(x if isinstance(x, list) else [x], 1):
+                            yield from walk(g, (*ords, k), "", unwrap(e))
+                else:
+                    yield from walk(group, ords, below, x)
+        elif spec.wanted(group):
+            kind = "array" if isinstance(v, list) else "null" if v is None else "bool" if isinstance(v, bool) else "number" if isinstance(v, Num) else "string"
+            yield group, ords, path, kind, None if v is None else text_of(v) if kind in ("array", "bool") else str(v)
+
+    return sorted(walk("", (), "", unwrap(parsed(root))), key=repr)
+
+
+names = st.sampled_from(["sections", "subsections", "citations", "links", "a", "b", "tags", "é"])
+texts = st.text(st.characters(exclude_categories=["Cs"]), max_size=5)
+values = st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False, allow_infinity=False) | texts, lambda x: st.lists(x, max_size=4) | st.dictionaries(names | texts, x, max_size=4) | x.map(json.dumps), max_leaves=25)
+
+
+@given(values, st.sampled_from([frozenset(), frozenset({"sections/citations"}), frozenset({"", "tags"})]), st.sampled_from([None, 1]))
+@settings(max_examples=400, deadline=None)
+def test_tokens_give_what_the_tree_gives(value, groups, indent):
+    spec = NestedSpec(**RECORD_SPEC, groups=groups)
+    text = json.dumps(value, indent=indent)
+    assert sorted(triples_of(text, spec), key=repr) == tree_triples(text, spec)
     for cut in range(1, len(text), 7):
         try:
-            a = parse_json(text[:cut])
+            expected = tree_triples(text[:cut], spec)
         except ValueError:
             with pytest.raises(ValueError):
-                _parse_deep(text[:cut])
+                triples_of(text[:cut], spec)
         else:
-            assert a == _parse_deep(text[:cut])
+            assert sorted(triples_of(text[:cut], spec), key=repr) == expected
 
 
-@pytest.mark.parametrize("bad", ["", "{", "[1,]", '{"a":}', '{"a" 1}', "[1 2]", "{,}", "]", "1 2", '{"a":1,}', "[,1]", "nul", "01", '"\n"'])
+@pytest.mark.parametrize("text", ['{"a":1,"a":{"b":2},"c":3,"a":[1,{"x":1,"y":2,"x":[3]}]}', '{"sections":[{"citations":[{}]}],"sections":[{"citations":[{},{}]}]}', '{"a":[{"x":1,"x":2}],"a":"s"}'])
+def test_the_last_of_repeated_keys_holds(text):
+    spec = NestedSpec(**RECORD_SPEC)
+    expected = tree_triples(text, spec)
+    got = triples_of(text, spec)
+    assert [t[:4] for t in sorted(got, key=repr)] == [t[:4] for t in expected]
+    assert sorted(json.dumps(json.loads(t[4]), sort_keys=True) for t in got if t[3] == "array") == sorted(json.dumps(json.loads(t[4]), sort_keys=True) for t in expected if t[3] == "array")
+
+
+@pytest.mark.parametrize("bad", ["", "{", "[1,]", '{"a":}', '{"a" 1}', "[1 2]", "{,}", "]", "1 2", '{"a":1,}', "[,1]", "nul", "01", '"\n"', "{]", "[}", '{"a":1]', '["a":1]', ":", '"\\x"', "- 1", "[1]]", '{1:2}'])
 def test_malformed(bad):
-    for parse in (parse_json, _parse_deep):
-        with pytest.raises(ValueError):
-            parse(bad)
+    with pytest.raises(ValueError):
+        triples_of(bad, NestedSpec(**RECORD_SPEC))
 
 
-def test_round_trip_of_triples():
-    spec = NestedSpec(**RECORD_SPEC)
-    root = unwrap(parse_json('{"a":{"b":1},"sections":[{"citations":[{"cid":"x"}]}]}'))
-    assert list(triples_of(root, spec)) == [
+def test_deep_arrays_keep_their_text():
+    deep = "[" * 100_000 + "]" * 100_000
+    assert triples_of('{"a":' + deep + "}", NestedSpec(**RECORD_SPEC))[-1] == ("", (), "a", "array", deep)
+    assert triples_of(r'{"a":"\ud83d","b":"\ud83d\ude00"}', NestedSpec(**RECORD_SPEC))[1:] == [("", (), "a", "string", "\ufffd"), ("", (), "b", "string", "\U0001f600")]
+
+
+def test_triples_are_in_order():
+    assert triples_of('{"a":{"b":1},"sections":[{"citations":[{"cid":"x"}]}]}', NestedSpec(**RECORD_SPEC)) == [
         ("", (), "", "object", None),
         ("", (), "a", "object", None),
         ("", (), "a.b", "number", "1"),
