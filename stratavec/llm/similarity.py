@@ -5,11 +5,12 @@ shingles for texts, signs of random projections for vectors.  Items meet in buck
 signs); within a bucket sketches are compared bit-sliced, and only pairs within the radius go on to an exact check of
 the similarity itself, against the whole item.
 
-Scale: exact copies stand for one another, so a copied item is sketched and compared once.  Buckets that a sample shows
-to be crowded are cut into tiles (pairs of blocks of the bucket), each a group of its own; everything else is hashed
-over the cluster once.  Bands are laid out so that a pair at the threshold is missed with a probability under 0.001
-(texts: 30 bands of 3 min-hashes, miss 0.0007 at Jaccard 0.6; vectors: 8 bands of 24 signs, miss 0.00001 at cosine 0.9995),
-and less the more similar it is; the radii are five standard deviations beyond what pairs at the threshold differ in.
+Scale: exact copies stand for one another, so a copied item is sketched and compared once.  Sketches and bands are made once and
+kept; the rows of every bucket are counted, and one that holds more than TILE_ROWS is cut into blocks of about that many rows, each
+pair of which is a tile, a group of its own.  Bands are laid out for the threshold, so that a pair at it is missed with a
+probability under TEXT_MISS or VECTOR_MISS (texts at 0.6: 29 bands of 3 min-hashes; at 0.8: 23 of 6; vectors at 0.9995: 8 bands of
+24 signs), and less the more similar it is; a threshold that BITS don't suffice for is an error.  The radii are five standard
+deviations beyond what pairs at the threshold differ in.
 
 Defined results: null, empty and short texts (under ``min_words``), unusable vectors and null keys take part in no pair; an item
 isn't paired with itself; pairs have the smaller key first; a class of more than EXPAND exact copies is given as
@@ -22,27 +23,34 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratavec.functions.text import words
 from stratavec.llm.bitslice import bucket_pairs
-from stratavec.llm.vectors import copy_classes, hash_sample, matrix, unit, usable_vectors
+from stratavec.llm.vectors import copy_classes, matrix, unit, usable_vectors
 from stratavec.operators.components import components
 from stratavec.session import cut_lineage
 
 BITS = 192
-#: Bands: (number, min-hashes or signs of each).
-TEXT_BANDS, VECTOR_BANDS = (30, 3), (8, 24)
-#: Copies up to which a class is spread into all its pairs; rows that a tile of a crowded bucket aims at.
+#: Probabilities that a pair at the threshold is in no common bucket.
+TEXT_MISS, VECTOR_MISS = 0.001, 0.00001
+#: Copies up to which a class is spread into all its pairs; rows of a bucket, and of a block of a larger one.
 EXPAND, TILE_ROWS = 50, 4096
-#: Rows of the sample that finds crowded buckets, and how many of them must meet.
-CROWD_SAMPLE, CROWD_SEEN = 20_000, 24
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_SIG = "bucket long, side int, item long, sketch binary"
+_SIG = "item long, buckets array<long>, sketch binary"
+
+
+def band_layout(agree: float, miss: float) -> tuple[int, int]:
+    """(bands, parts of each) for parts that agree with probability ``agree`` at the threshold: as many parts as BITS allow."""
+    for per in range(min(63, BITS), 0, -1):
+        together = agree**per
+        bands = 1 if together >= 1 else int(np.ceil(np.log(miss) / np.log1p(-together))) if together > 1e-9 else BITS + 1
+        if bands * per <= BITS:
+            return bands, per
+    raise ValueError("the threshold is too low for the sketches")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -112,10 +120,10 @@ def min_hashes(shingles: np.ndarray, counts: np.ndarray, n: int = BITS) -> np.nd
     return out
 
 
-def _text_signatures(texts: list[list[str]], size: int) -> tuple[np.ndarray, np.ndarray]:
+def _text_signatures(texts: list[list[str]], size: int, layout: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """(band hashes, sketches) of texts that have a shingle."""
     minima = min_hashes(*shingle_hashes(texts, size))
-    bands, per = TEXT_BANDS
+    bands, per = layout
     mixed = _mix(minima.astype(np.uint64) + np.arange(BITS, dtype=np.uint64) * _MIX)
     return _band_hashes(minima[:, : bands * per].astype(np.uint64), bands), np.packbits((mixed & np.uint64(1)).astype(np.uint8), axis=1)
 
@@ -132,49 +140,36 @@ def _planes(dim: int) -> np.ndarray:
     return np.random.default_rng(21).standard_normal((dim, BITS)).astype(np.float32)
 
 
-def _vector_signatures(x: np.ndarray, group: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _vector_signatures(x: np.ndarray, group: list[str], layout: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     import xxhash
 
-    sketch = np.packbits(x @ _planes(x.shape[1]) > 0, axis=1)
-    bands, per = VECTOR_BANDS
-    parts = sketch.reshape(len(x), bands, per // 8).astype(np.uint64)
-    number = parts[:, :, 0] << np.uint64(16) | parts[:, :, 1] << np.uint64(8) | parts[:, :, 2]
+    bits = x @ _planes(x.shape[1]) > 0
+    bands, per = layout
+    number = bits[:, : bands * per].reshape(len(x), bands, per) @ (np.uint64(1) << np.arange(per, dtype=np.uint64))
     inside = np.array([xxhash.xxh3_64_intdigest(g or "") for g in group], np.uint64)
-    return _band_hashes(number, bands) ^ _mix(inside)[:, None], sketch
+    return _band_hashes(number, bands) ^ _mix(inside)[:, None], np.packbits(bits, axis=1)
 
 
 # ---------------------------------------------------------------- buckets
 
 
-def _crowded(hashes: np.ndarray, rows: int, sample: int) -> dict[int, int]:
-    """Bucket -> number of blocks, of the buckets that are likely to hold more than a tile."""
-    values, seen = np.unique(hashes, return_counts=True)
-    size = seen * (rows / max(1, sample))
-    hot = (seen >= CROWD_SEEN) & (size > TILE_ROWS)
-    return {int(v): int(-(-s // TILE_ROWS)) for v, s in zip(values[hot], size[hot])}
+def _signature_batch(items: np.ndarray, bands: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+    n, b = bands.shape
+    buckets = pa.ListArray.from_arrays(pa.array(np.arange(0, n * b + 1, b, dtype=np.int32)), pa.array(bands.ravel().view(np.int64)))
+    return pa.RecordBatch.from_arrays([pa.array(items), buckets, pa.array([s.tobytes() for s in sketch], pa.binary())], names=["item", "buckets", "sketch"])
 
 
-def _emit(items: np.ndarray, bands: np.ndarray, sketch: np.ndarray, hot: dict[int, int]) -> Iterator[pa.RecordBatch]:
-    """Rows of the bucket table; an item of a crowded bucket goes to all tiles of its block."""
-    names = ["bucket", "side", "item", "sketch"]
-    raw = [s.tobytes() for s in sketch]
-    n, b = bands.shape
-    row = np.repeat(np.arange(n), b)
-    flat = bands.ravel()
-    crowded = np.isin(flat, np.fromiter(hot, np.uint64, len(hot))) if hot else np.zeros(len(flat), bool)
-    rows, buckets, sides = [row[~crowded]], [flat[~crowded]], [np.zeros(int((~crowded).sum()), np.int32)]
-    for at in np.flatnonzero(crowded):
-        blocks = hot[int(flat[at])]
-        mine = int(_mix(items[row[at] : row[at] + 1].astype(np.uint64))[0] % np.uint64(blocks))
-        other = np.arange(blocks)
-        tile = np.minimum(mine, other) * blocks + np.maximum(mine, other) + 1
-        rows.append(np.full(blocks, row[at]))
-        buckets.append(_mix(flat[at] + tile.astype(np.uint64) * _MIX))
-        sides.append((mine > other).astype(np.int32))
-    row, bucket, side = np.concatenate(rows), np.concatenate(buckets).view(np.int64), np.concatenate(sides)
-    for s in range(0, len(row), 50_000):
-        part = row[s : s + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[s : s + 50_000]), pa.array(side[s : s + 50_000]), pa.array(items[part]), pa.array([raw[i] for i in part], pa.binary())], names=names)
+def _placed(signatures: DataFrame, tile_rows: int) -> DataFrame:
+    """(bucket, side, item, sketch): the rows of each bucket; an item of a crowded one goes to all tiles of its block.
+
+    Buckets are counted with partial sums, so a crowded one is a number from each task."""
+    each = signatures.select(F.explode("buckets").alias("bucket"), "item", "sketch")
+    crowded = each.groupBy("bucket").count().where(F.col("count") > tile_rows).select("bucket", F.ceil(F.col("count") / tile_rows).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
+    rows = each.join(crowded, "bucket", "left").withColumn("mine", mine)
+    rows = rows.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
+    tile = F.when(F.col("other") < 0, F.col("bucket")).otherwise(F.xxhash64("bucket", F.least("mine", "other"), F.greatest("mine", "other")))
+    return rows.select(tile.alias("bucket"), F.when((F.col("other") >= 0) & (F.col("mine") > F.col("other")), 1).otherwise(0).alias("side"), "item", "sketch")
 
 
 def _candidates(signatures: DataFrame, radius: int) -> DataFrame:
@@ -205,7 +200,7 @@ def _candidates(signatures: DataFrame, radius: int) -> DataFrame:
         if kept:
             yield pairs(kept)
 
-    placed = signatures.repartition("bucket").sortWithinPartitions("bucket")
+    placed = _placed(cut_lineage(signatures), TILE_ROWS).repartition("bucket").sortWithinPartitions("bucket")
     return placed.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -249,13 +244,7 @@ def text_pairs(records: DataFrame, threshold: float = 0.8, shingle: int = 5, min
     rows = records.select(F.col(key).cast("long").alias(key), plain_words(F.col(text)).alias("plain")).where((F.size(F.split("plain", " ")) >= least) & F.col(key).isNotNull())
     classes = copy_classes(rows, key, [], "plain")
     content = _representatives(rows, classes, key)
-    some = records.where(F.col(text).isNotNull())
-    n = some.count()
-    drawn = hash_sample(some, key, CROWD_SAMPLE, max(1, n)).select(text).toPandas()[text] if n > CROWD_SAMPLE else []
-    drawn = sorted(set(drawn))  # copies are compared once
-    hashes = [_text_signatures(part, shingle)[0] for k in range(0, len(drawn), 1000) if (part := [w for w in map(words, drawn[k : k + 1000]) if len(w) >= least])]
-    hot = _crowded(np.concatenate(hashes), n, sum(map(len, hashes))) if hashes else {}
-    shared = records.sparkSession.sparkContext.broadcast(hot)
+    layout = band_layout(threshold, TEXT_MISS)
     spread_bits = 0.5 * (1 - threshold)  # the share of sketch bits that differ at the threshold
     radius = int(BITS * spread_bits + 5 * np.sqrt(BITS * spread_bits * (1 - spread_bits)))
 
@@ -267,7 +256,7 @@ def text_pairs(records: DataFrame, threshold: float = 0.8, shingle: int = 5, min
                 good = [i for i, t in enumerate(texts) if len(t) >= least]
                 if good:
                     items = part.column(0).to_numpy()[good]
-                    yield from _emit(items, *_text_signatures([texts[i] for i in good], shingle), shared.value)
+                    yield _signature_batch(items, *_text_signatures([texts[i] for i in good], shingle, layout))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,9 +280,7 @@ def text_pairs(records: DataFrame, threshold: float = 0.8, shingle: int = 5, min
 
 
 def vector_links(records: DataFrame, dim: int, threshold: float = 0.9995, key: str = "rec_no", within: str = "collection_name", spread: bool = True) -> DataFrame:
-    """(a, b, similarity): pairs of rows of the same ``within`` whose vectors have a cosine of at least ``threshold``.
-
-    Made for thresholds of 0.999 and more; the bands miss more pairs below."""
+    """(a, b, similarity): pairs of rows of the same ``within`` whose vectors have a cosine of at least ``threshold``."""
     links, classes = vector_pairs(records, dim, threshold, key, within)
     return _spread(links, classes, key) if spread else links
 
@@ -303,18 +290,15 @@ def vector_pairs(records: DataFrame, dim: int, threshold: float = 0.9995, key: s
     rows = usable_vectors(records.select(F.col(key).cast("long").alias(key), within, "values"), [key, within], dim)
     classes = copy_classes(rows, key, [within])
     content = _representatives(rows, classes, key)
-    n = records.where(F.size("values") == dim).count()
-    drawn = hash_sample(content, key, CROWD_SAMPLE, max(1, n)).toPandas() if n > CROWD_SAMPLE else pd.DataFrame()
-    hot = _crowded(_vector_signatures(unit(matrix(drawn.vec, dim)), list(drawn[within]))[0], n, len(drawn)) if len(drawn) else {}
-    shared = records.sparkSession.sparkContext.broadcast(hot)
-    share = float(np.arccos(threshold) / np.pi)
+    share = float(np.arccos(min(1.0, threshold)) / np.pi)
+    layout = band_layout(1 - share, VECTOR_MISS)
     radius = int(BITS * share + 6 * np.sqrt(BITS * share * (1 - share)) + 1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x = unit(matrix(batch.column(2).to_pylist(), dim))
-                yield from _emit(batch.column(0).to_numpy(), *_vector_signatures(x, batch.column(1).to_pylist()), shared.value)
+                yield _signature_batch(batch.column(0).to_numpy(), *_vector_signatures(x, batch.column(1).to_pylist(), layout))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -333,17 +317,6 @@ def vector_pairs(records: DataFrame, dim: int, threshold: float = 0.9995, key: s
     return links, classes
 
 
-def duplicate_groups(records: DataFrame, links: DataFrame, key: str = "rec_no") -> DataFrame:
-    """(key, group, n_links) of every row: the smallest key it is connected with (its own, if none) and its links, as given.
-
-    Links that were spread from large classes are a star; linked_groups counts those the rows have."""
-    links = cut_lineage(links.select("a", "b").distinct())
-    comp = components(links, "a", "b")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    out = records.select(F.col(key).cast("long").alias(key)).join(comp.withColumnRenamed("node", key), key, "left").join(degree.withColumnRenamed("node", key), key, "left")
-    return out.select(key, F.coalesce("component", key).alias("group"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
 def _linked_classes(links: DataFrame, classes: DataFrame, key: str) -> DataFrame:
     """(c, other, n): each class of copies with itself and those it is linked with, and how many rows the other has.
 

@@ -65,8 +65,8 @@ def test_large_class_of_copies_is_a_star(spark):
     links = sim.text_links(table(spark, rows), 0.6, 3, 20)
     assert {(r.a, r.b) for r in links.collect()} == {(0, i) for i in range(1, 60)} | {(0, 99)}
     assert {(r.a, r.b) for r in sim.vector_links(table(spark, rows), 8).collect()} == {(0, i) for i in range(1, 60)} | {(0, 99)}
-    groups = sim.duplicate_groups(table(spark, rows[:61]), links).collect()
-    assert {r.group for r in groups} == {0} and {r.rec_no: r.n_links for r in groups}[0] == 60
+    groups = sim.linked_groups(table(spark, rows[:61]), sim.text_pairs(table(spark, rows[:61]), 0.6, 3, 20)).collect()
+    assert {r.group for r in groups} == {0} and {r.n_links for r in groups} == {60}
 
 
 @pytest.mark.parametrize("copies", [3, 51])
@@ -83,13 +83,15 @@ def test_links_are_counted_in_classes_of_any_size(spark, copies):
         expected = {i: sum(i in e for e in links) for i in range(len(rows))}
         got = sim.linked_groups(df, *sides).collect()
         assert {r.rec_no: r.n_links for r in got} == expected and len(got) == len(rows)
-        assert {(r.rec_no, r.group) for r in got} == {(r.rec_no, r.group) for r in sim.duplicate_groups(df, spark.createDataFrame(list(links), "a long, b long")).collect()}
+        group = {i: i for i in range(len(rows))}
+        for _ in rows:
+            for a, b in links:
+                group[a] = group[b] = min(group[a], group[b])
+        assert {(r.rec_no, r.group) for r in got} == set(group.items())
     assert expected[0] >= copies
 
 
 def test_crowded_buckets_are_tiled(spark, monkeypatch):
-    monkeypatch.setattr(sim, "CROWD_SAMPLE", 100)
-    monkeypatch.setattr(sim, "CROWD_SEEN", 3)
     monkeypatch.setattr(sim, "TILE_ROWS", 20)
     rng = random.Random(2)
     base = [f"b{i}" for i in range(60)]
@@ -105,4 +107,21 @@ def test_crowded_buckets_are_tiled(spark, monkeypatch):
 def test_nothing(spark):
     empty = table(spark, [])
     assert sim.text_links(empty).count() == 0 and sim.vector_links(empty, 8).count() == 0
-    assert sim.duplicate_groups(empty, sim.text_links(empty)).count() == 0
+    assert sim.linked_groups(empty, sim.text_pairs(empty)).count() == 0
+
+
+@pytest.mark.parametrize("agree", [0.3, 0.5, 0.6, 0.8, 0.95, 0.99, 1.0])
+def test_bands_fit_the_threshold(agree):
+    bands, per = sim.band_layout(agree, 0.001)
+    assert bands * per <= sim.BITS and (1 - agree**per) ** bands <= 0.001
+
+
+def test_thresholds_that_are_too_low():
+    with pytest.raises(ValueError):
+        sim.band_layout(0.01, 0.001)
+
+
+def test_low_thresholds_are_met(spark):
+    texts = corpus(3, 120)
+    df = table(spark, [(i, "c", "", None, t) for i, t in enumerate(texts)])
+    assert {(r.a, r.b) for r in sim.text_links(df, 0.3, 2).collect()} == brute(texts, 0.3, 2, 0)
