@@ -38,6 +38,8 @@ BITS = 192
 TEXT_MISS, VECTOR_MISS = 0.001, 0.00001
 #: Copies up to which a class is spread into all its pairs; rows of a bucket, and of a block of a larger one.
 EXPAND, TILE_ROWS = 50, 4096
+#: Rows of 12 bytes that may be broadcast.
+BROADCAST_ROWS = 100_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SIG = "item long, buckets array<long>, sketch binary"
@@ -162,9 +164,15 @@ def _signature_batch(items: np.ndarray, bands: np.ndarray, sketch: np.ndarray) -
 def _placed(signatures: DataFrame, tile_rows: int) -> DataFrame:
     """(bucket, side, item, sketch): the rows of each bucket; an item of a crowded one goes to all tiles of its block.
 
-    Buckets are counted with partial sums, so a crowded one is a number from each task."""
+    Buckets are counted with partial sums, so a crowded one is a number from each task.  The list of the crowded ones, which holds
+    a row for TILE_ROWS others at most, is broadcast if it has no more than BROADCAST_ROWS, else joined."""
     each = signatures.select(F.explode("buckets").alias("bucket"), "item", "sketch")
-    crowded = each.groupBy("bucket").count().where(F.col("count") > tile_rows).select("bucket", F.ceil(F.col("count") / tile_rows).cast("int").alias("blocks"))
+    crowded = cut_lineage(each.groupBy("bucket").count().where(F.col("count") > tile_rows).select("bucket", F.ceil(F.col("count") / tile_rows).cast("int").alias("blocks")))
+    n = crowded.count()
+    if not n:
+        return each.select("bucket", F.lit(0).alias("side"), "item", "sketch")
+    if n <= BROADCAST_ROWS:
+        crowded = F.broadcast(crowded)
     mine = F.pmod(F.xxhash64("item"), F.col("blocks")).cast("int")
     rows = each.join(crowded, "bucket", "left").withColumn("mine", mine)
     rows = rows.withColumn("other", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
