@@ -6,10 +6,16 @@ residual error that is parallel to the vector costs ``eta`` times the part acros
 a query that is close.  A query visits its nearest cells; there a table of its products with all words is summed along
 the codes of the members (two codes a byte, one look-up of 256), the best are kept and reranked with exact cosines.
 
-Centroids and words are fitted on a bounded sample (SAMPLE rows), everything is indexed.  Cells that hold too many
+Centroids and words are fitted on a bounded sample (SAMPLE rows), everything is indexed.  There is a cell for every CELL_ROWS rows:
+beyond MOST_CELLS centroids each cell is divided by centroids of the residuals, which all cells share.  Cells that hold too many
 rows are cut into blocks, and a query visits all blocks of a cell.  Exact copies stand for one another: one of them is
 indexed, and results are spread over the class afterwards.
 
+Where only neighbours of a least similarity are asked for, nothing is lost: a query visits every cell whose border is near
+enough for one to lie behind it, and reranks every member whose table score plus coding error could reach its k-th best.
+Else the number of visited cells is fitted on the sample: as many as hold the nearest rows of the sample itself, but for one
+in fifty, which lie farther off than those of all rows.
+
 Defined results: rows without a usable vector or a key take no part; no row is its own neighbour, nor is a repeated row of
 the same key; equal similarity goes by smaller key; a collection with fewer rows gives fewer neighbours; a null collection is
 one of its own; columns of other names are ignored.
@@ -28,22 +34,23 @@ from pyspark.sql import functions as F
 
 from stratavec.llm.vectors import copy_classes, first_members, hash_sample, kmeans, matrix, unit, usable_vectors
 
-#: Rows a cell aims at, rows of a block, most cells, rows that cells and words are fitted on.
+#: Rows a cell aims at, rows of a block, most centroids, rows that cells and words are fitted on.
 CELL_ROWS, BLOCK_ROWS, MOST_CELLS, SAMPLE = 1000, 2000, 16384, 49152
 #: Dimensions of a subspace and the cosine that scores matter from (it sets eta).
 SUB, SCORE_FROM = 4, 0.2
-#: Candidates of a block that are reranked, for each neighbour asked for.
-RERANK = 12
+#: Candidates of a block that are reranked at first, for each neighbour asked for; rows of a task; share of near rows to be held.
+RERANK, TASK_ROWS, HOLD = 12, 8192, 0.98
 
 
 @dataclass
 class Index:
-    """Cells, the words of each subspace, and blocks of each cell."""
+    """Cells, the words of each subspace, and blocks of each part of a cell (cell * parts + part)."""
 
     centroids: np.ndarray
     words: np.ndarray  # subspaces x 16 x SUB
     blocks: np.ndarray
     eta: float
+    parts: np.ndarray  # centroids of residuals that divide each cell; one row of zeros if none do
 
     @property
     def dim(self) -> int:
@@ -61,6 +68,49 @@ class Index:
         order = np.argsort(-best, axis=1, kind="stable")
         return np.take_along_axis(part, order, 1), np.take_along_axis(best, order, 1)
 
+    def _part_distances(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """Squared distances of the residuals to the centroids of the parts, but for a number that a row's share."""
+        return (self.parts**2).sum(1) - 2 * (x - self.centroids[cell]) @ self.parts.T
+
+    def home(self, x: np.ndarray, cell: np.ndarray) -> np.ndarray:
+        """The part that each row, which belongs to the cell, is a member of."""
+        return cell * len(self.parts) + (self._part_distances(x, cell).argmin(1) if len(self.parts) > 1 else 0)
+
+    def visits(self, x: np.ndarray, probes: int | None, least: float | None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, part) of what each row's search visits.
+
+        A row y that is a member of c, not of c0, lies on c's side of the plane between the two; if y's cosine with x reaches
+        ``least``, x lies at most sin t on the other side of it, t being the angle of ``least`` (the same goes for parts, with the chord)."""
+        score = x @ self.centroids.T
+        best = score.argmax(1)
+        if least is None:
+            near = self.nearest(x, probes)
+            row, cell = np.repeat(np.arange(len(x)), near.shape[1]), near.ravel()
+        else:
+            c, c0 = self.centroids, self.centroids[best]
+            apart = np.sqrt(np.maximum(0, (c * c).sum(1) + (c0 * c0).sum(1)[:, None] - 2 * c0 @ c.T))
+            reach = 1.0 if least <= 0 else float(np.sqrt(1 - least * least))
+            row, cell = np.nonzero(score >= np.take_along_axis(score, best[:, None], 1) - reach * apart - 1e-4)
+        if len(self.parts) == 1:
+            return row, cell
+        rows, parts, width = [], [], len(self.parts)
+        between = np.sqrt(((self.parts[:, None] - self.parts[None]) ** 2).sum(2))
+        for s in range(0, len(row), 8192):
+            d = self._part_distances(x[row[s : s + 8192]], cell[s : s + 8192])
+            if least is None:
+                i, j = np.nonzero(np.argsort(np.argsort(d, axis=1), axis=1) < -(-width // 4))
+            else:
+                first = d.argmin(1)
+                chord = float(np.sqrt(max(0.0, 2 - 2 * least)))
+                i, j = np.nonzero(d - d.min(1, keepdims=True) <= 2 * chord * between[first] + 1e-3)
+            rows.append(row[s + i])
+            parts.append(cell[s + i] * width + j)
+        return (np.concatenate(rows), np.concatenate(parts)) if rows else (row, cell)
+
+    def centre(self, part: int) -> np.ndarray:
+        """The centroid that codes of the part's members are relative to: that of their cell."""
+        return self.centroids[part // len(self.parts)]
+
     def codes(self, x: np.ndarray, cell: np.ndarray, sweeps: int = 2) -> np.ndarray:
         """Word numbers of each subspace, by coordinate descent on |e|^2 + (eta - 1) (e . x)^2."""
         n, m = len(x), self.words.shape[0]
@@ -112,13 +162,17 @@ def fit_index(sample: np.ndarray, rows: int, cell_rows: int = CELL_ROWS, block_r
     dim = sample.shape[1]
     if dim % (2 * SUB):
         raise ValueError(f"the dimension must be a multiple of {2 * SUB}")
-    cells = max(1, min(MOST_CELLS, rows // cell_rows, len(sample) // 8))
+    wanted = max(1, rows // cell_rows)
+    cells = max(1, min(MOST_CELLS, wanted, len(sample) // 8))
     centroids = kmeans(sample, cells, 8)
     eta = max(2.0, (dim - 1) * SCORE_FROM**2 / (1 - SCORE_FROM**2))
-    index = Index(centroids, np.zeros((dim // SUB, 16, SUB), np.float32), np.ones(len(centroids), np.int64), eta)
+    index = Index(centroids, np.zeros((dim // SUB, 16, SUB), np.float32), np.ones(len(centroids), np.int64), eta, np.zeros((1, dim), np.float32))
     near = index.nearest(sample, 1)[:, 0]
     part = slice(0, 8192)
-    r = (sample[part] - centroids[near[part]]).reshape(-1, dim // SUB, SUB)
+    residual = sample - centroids[near]
+    if wanted > MOST_CELLS:
+        index.parts = kmeans(residual, max(2, min(-(-wanted // MOST_CELLS), len(sample) // 8)), 8, spherical=False)
+    r = residual[part].reshape(-1, dim // SUB, SUB)
     words = [kmeans(np.ascontiguousarray(r[:, k]), 16, 6, spherical=False) for k in range(dim // SUB)]
     index.words = np.stack([np.vstack([w, np.repeat(w[-1:], 16 - len(w), axis=0)]) for w in words])
     for _ in range(2):  # words move to the means of what the score-aware choice gives them
@@ -128,11 +182,25 @@ def fit_index(sample: np.ndarray, rows: int, cell_rows: int = CELL_ROWS, block_r
             for s in range(SUB):
                 sums = np.bincount(codes[:, k], weights=r[:, k, s], minlength=16)
                 index.words[k, :, s] = np.where(counts, sums / np.maximum(counts, 1), index.words[k, :, s])
-    counts = np.bincount(near, minlength=len(centroids)) * (rows / len(sample))
+    counts = np.bincount(index.home(sample, near), minlength=len(centroids) * len(index.parts))
+    counts = np.where(counts >= 8, counts * (rows / len(sample)), 0)  # fewer say nothing of a part's size
     index.blocks = np.maximum(1, np.ceil(counts / block_rows)).astype(np.int64)
     return index
 
 
+def fit_probes(index: Index, sample: np.ndarray, k: int, queries: int = 512) -> int:
+    """How many cells hold HOLD of the k nearest rows of the sample of each of its first rows."""
+    q = sample[:queries]
+    score = q @ sample.T
+    score[np.arange(len(q)), np.arange(len(q))] = -2
+    k = min(k, score.shape[1])
+    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    cell = index.nearest(sample, 1)[:, 0]
+    to_cells = q @ index.centroids.T
+    rank = (to_cells[:, None, :] > np.take_along_axis(to_cells, cell[near], 1)[:, :, None]).sum(2)
+    return int(np.quantile(rank, HOLD)) + 1
+
+
 def _top(index: Index, q: np.ndarray, q_keys: np.ndarray, x_keys: np.ndarray, x: np.ndarray, packed: np.ndarray, centroid: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, member, cosine) of the best ``k`` members of each query that have another key.
 
@@ -142,6 +210,13 @@ def _top(index: Index, q: np.ndarray, q_keys: np.ndarray, x_keys: np.ndarray, x:
     out_q, out_x, out_s = [], [], []
     single = q.astype(np.float32)
     error = None if least is None else index.error(x, centroid, packed)
+
+    def exact(rows: np.ndarray, members: np.ndarray) -> np.ndarray:
+        out = np.empty(len(rows))
+        for p in range(0, len(rows), 16384):
+            out[p : p + 16384] = np.einsum("ij,ij->i", q[rows[p : p + 16384]], x[members[p : p + 16384]])
+        return out
+
     for s in range(0, len(q), 256):
         score = index.scan(single[s : s + 256], centroid, packed)
         if keep < n:
@@ -154,26 +229,38 @@ def _top(index: Index, q: np.ndarray, q_keys: np.ndarray, x_keys: np.ndarray, x:
         if least is not None:
             fine &= score[row, member] + error[member] >= least - 1e-4
         row, member = row[fine], member[fine]
-        exact = np.empty(len(row))
-        for p in range(0, len(row), 16384):
-            exact[p : p + 16384] = np.einsum("ij,ij->i", q[s + row[p : p + 16384]], x[member[p : p + 16384]])
+        similar = exact(s + row, member)
         if least is not None:
-            fine = exact >= least
-            row, member, exact = row[fine], member[fine], exact[fine]
-        order = np.lexsort((member, -exact, row))
-        row, member, exact = row[order], member[order], exact[order]
+            fine = similar >= least
+            row, member, similar = row[fine], member[fine], similar[fine]
+            if keep < n:  # what the scores can't rule out, given the k-th best so far
+                order = np.lexsort((-similar, row))
+                nth = np.arange(len(row)) - np.searchsorted(row[order], row[order])
+                floor = np.full(len(score), least)
+                floor[row[order][nth == k - 1]] = similar[order][nth == k - 1]
+                open_ = score + error >= floor[:, None] - 1e-4
+                np.put_along_axis(open_, best, False, axis=1)
+                i, j = np.nonzero(open_)
+                fine = x_keys[j] != q_keys[s + i]
+                i, j = i[fine], j[fine]
+                more = exact(s + i, j)
+                fine = more >= least
+                row, member, similar = np.r_[row, i[fine]], np.r_[member, j[fine]], np.r_[similar, more[fine]]
+        order = np.lexsort((member, -similar, row))
+        row, member, similar = row[order], member[order], similar[order]
         first = np.searchsorted(row, row)
         fine = np.arange(len(row)) - first < k
         out_q.append(s + row[fine])
         out_x.append(member[fine])
-        out_s.append(exact[fine])
+        out_s.append(similar[fine])
     return tuple(np.concatenate(c) if c else np.zeros(0) for c in (out_q, out_x, out_s))
 
 
-def nearest_neighbours(records: DataFrame, dim: int, k: int, key: str = "rec_no", collection: str = "collection_name", least: float | None = None, queries: Column | None = None, probes: int = 3, cell_rows: int = CELL_ROWS) -> DataFrame:
+def nearest_neighbours(records: DataFrame, dim: int, k: int, key: str = "rec_no", collection: str = "collection_name", least: float | None = None, queries: Column | None = None, probes: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(key, neighbour, similarity, rank) of the k most similar rows of the same collection.
 
-    least: only neighbours of at least this similarity; then cells that can't hold one aren't visited.  queries: which rows ask (all, if None); all rows answer.
+    least: only neighbours of at least this similarity; then none is lost.  probes: cells that are visited otherwise (fitted on the
+    sample, if None).  queries: which rows ask (all, if None); all rows answer.
     """
     asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
     vectors = usable_vectors(records.withColumn("_asks", asks), [key, collection, "_asks"], dim)
@@ -184,16 +271,16 @@ def nearest_neighbours(records: DataFrame, dim: int, k: int, key: str = "rec_no"
     drawn = hash_sample(vectors.select(key, "vec"), key, wanted, n).select("vec").toPandas()
     if drawn.empty:
         return records.sparkSession.createDataFrame([], f"`{key}` long, neighbour long, similarity double, rank int")
-    index = fit_index(unit(matrix(drawn.vec, dim)), n, cell_rows)
+    sample = unit(matrix(drawn.vec, dim))
+    index = fit_index(sample, n, cell_rows)
+    if least is None and probes is None:
+        probes = fit_probes(index, sample, k)
     shared = records.sparkSession.sparkContext.broadcast(index)
 
     reps = vectors.join(classes.where(F.col(key) != F.col("rep")).select(key), key, "left_anti")
     heads = classes.where(F.col(key) == F.col("rep")).select(key, F.lit(True).alias("_head"))
     reps = reps.join(heads, key, "left").select(key, collection, (F.col("_asks") | F.col("_head").isNotNull()).alias("_asks"), "vec")
     reps = reps.withColumn("_asks", F.coalesce("_asks", F.lit(False)))
-    # a neighbour within the angle t of a row that lies at u from its centroid lies at u + t from it at most, and so from its
-    # own; that one is at u + 2t from the row at most
-    reach = np.inf if least is None else 2 * float(np.arccos(least)) + 1e-3
     placed_schema = f"`{key}` long, `{collection}` string, cell int, block int, member boolean, asks boolean, vec binary, code binary"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,20 +292,25 @@ def nearest_neighbours(records: DataFrame, dim: int, k: int, key: str = "rec_no"
             ask = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             raw = batch.column(3)
             x = unit(matrix(raw.to_pylist(), dim))
-            cell, closeness = ix.nearest_with_scores(x, probes)
-            angle = np.arccos(np.clip(closeness, -1, 1))
-            useful = angle <= angle[:, :1] + reach
-            code = pack(ix.codes(x, cell[:, 0]))
-            home = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % ix.blocks[cell[:, 0]]
-            rows, cell_, block, member = [np.arange(len(x))], [cell[:, 0]], [home], [np.ones(len(x), bool)]
-            for p in range(cell.shape[1]):
-                of = ix.blocks[cell[:, p]]
-                for b in range(int(of.max())):
-                    go = np.flatnonzero(ask & useful[:, p] & (b < of) & ((home != b) if p == 0 else True))
-                    rows.append(go)
-                    cell_.append(cell[go, p])
-                    block.append(np.full(len(go), b))
-                    member.append(np.zeros(len(go), bool))
+            nearest = np.concatenate([(x[s : s + 4096] @ ix.centroids.T).argmax(1) for s in range(0, len(x), 4096)])
+            code = pack(ix.codes(x, nearest))
+            own = ix.home(x, nearest)
+            home = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % ix.blocks[own]
+            rows, cell_, block, member = [np.arange(len(x))], [own], [home], [np.ones(len(x), bool)]
+            asking = np.flatnonzero(ask)
+            step = max(64, 2_000_000 // len(ix.centroids))
+            for s in range(0, len(asking), step):
+                mine = asking[s : s + step]
+                i, part = ix.visits(x[mine], probes, least)
+                i = mine[i]
+                of = ix.blocks[part]
+                i, part = np.repeat(i, of), np.repeat(part, of)
+                b = np.arange(len(i)) - np.repeat(np.cumsum(of) - of, of)
+                go = (part != own[i]) | (b != home[i])
+                rows.append(i[go])
+                cell_.append(part[go])
+                block.append(b[go])
+                member.append(np.zeros(int(go.sum()), bool))
             rows, member = np.concatenate(rows), np.concatenate(member)
             codes = [c.tobytes() for c in code]
             for s in range(0, len(rows), 20_000):
@@ -241,18 +333,21 @@ def nearest_neighbours(records: DataFrame, dim: int, k: int, key: str = "rec_no"
         keys, member, ask = pdf[key].to_numpy()[order], member[order], ask[order]
         u = unit(matrix(pdf.vec.to_numpy()[order], dim), np.float64)
         packed = np.frombuffer(b"".join(pdf.code.to_numpy()[order][member]), np.uint8).reshape(int(member.sum()), -1)
-        q, x, s = _top(ix, u[ask], keys[ask], keys[member], u[member], packed, ix.centroids[group[1]], k, least)
+        q, x, s = _top(ix, u[ask], keys[ask], keys[member], u[member], packed, ix.centre(group[1]), k, least)
         return pd.DataFrame({key: keys[ask][q.astype(int)], "neighbour": keys[member][x.astype(int)], "similarity": s})
 
-    placed = reps.mapInArrow(place, placed_schema)
+    tasks = max(records.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
+    placed = reps.mapInArrow(place, placed_schema).repartition(tasks, collection, "cell", "block")
     found = placed.groupBy(collection, "cell", "block").applyInPandas(search, f"`{key}` long, neighbour long, similarity double")
     found = _best(found, key, k).select(F.col(key).alias("_q"), F.col("neighbour").alias("_n"), "similarity")
 
     own = classes.where(F.col(key) == F.col("rep")).select(F.col("rep").alias("_q"), F.col("rep").alias("_n"), F.lit(1.0).alias("similarity"))
     few = first_members(classes, key, k + 1).select(F.col("rep").alias("_n"), F.col("member").alias("_m"))
     mine = classes.select(F.col("rep").alias("_q"), F.col(key).alias("_k"))
-    spread = found.unionByName(own).join(mine, "_q", "left").join(few, "_n", "left")
-    spread = spread.select(F.coalesce("_k", "_q").alias(key), F.coalesce("_m", "_n").alias("neighbour"), "similarity").where(F.col(key) != F.col("neighbour"))
+    alone = found.join(classes.select(F.col("rep").alias("_q")).distinct(), "_q", "left_anti").withColumn("_k", F.col("_q"))
+    several = found.unionByName(own).join(mine, "_q")  # an inner join, so that a class that holds much of the table may be split
+    spread = alone.unionByName(several.select(*alone.columns)).join(few, "_n", "left")
+    spread = spread.select(F.col("_k").alias(key), F.coalesce("_m", "_n").alias("neighbour"), "similarity").where(F.col(key) != F.col("neighbour"))
     if queries is not None:
         spread = spread.join(vectors.where("_asks").select(key), key, "left_semi")
     return _best(spread.groupBy(key, "neighbour").agg(F.max("similarity").alias("similarity")), key, k)

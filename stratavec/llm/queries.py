@@ -33,12 +33,12 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return knn.neighbour_pairs(knn.nearest_neighbours(table(spark, d, "records"), DIM, 5, least=0.975, probes=5))
+    return knn.neighbour_pairs(knn.nearest_neighbours(table(spark, d, "records"), DIM, 5, least=0.975))
 
 
 def p3_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The 5 nearest of every fiftieth record among all records of its collection."""
-    return knn.nearest_neighbours(table(spark, d, "records"), DIM, 5, queries=F.col("rec_no") % 50 == 0, probes=12)
+    return knn.nearest_neighbours(table(spark, d, "records"), DIM, 5, queries=F.col("rec_no") % 50 == 0)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -40,13 +40,26 @@ def test_recall_and_order(spark):
     assert np.mean([len(set(got[k]) & set(expected[k])) / 5 for k in expected]) >= 0.9
 
 
-def test_close_pairs_are_all_found(spark):
+@pytest.mark.parametrize("most_cells", [knn.MOST_CELLS, 2])
+def test_fitted_probes_hold_the_neighbours(spark, monkeypatch, most_cells):
+    monkeypatch.setattr(knn, "MOST_CELLS", most_cells)
+    rows = [(i, "c", v.tolist()) for i, v in enumerate(clustered(8, 2000, centres=40))]
+    found = knn.nearest_neighbours(table(spark, rows), 16, 5, queries=F.col("rec_no") % 10 == 0, cell_rows=100).collect()
+    expected = brute(rows, 5)
+    got = {(r.rec_no, r.neighbour) for r in found}
+    assert len(found) == 1000 and sum((q, n) in got for q in range(0, 2000, 10) for n in expected[q]) >= 0.9 * 1000
+
+
+@pytest.mark.parametrize("most_cells", [knn.MOST_CELLS, 3])
+def test_close_pairs_are_all_found(spark, monkeypatch, most_cells):
+    monkeypatch.setattr(knn, "MOST_CELLS", most_cells)
+    monkeypatch.setattr(knn, "RERANK", 1)
     x = clustered(2, 400)
     rng = np.random.default_rng(3)
     near = x[rng.integers(0, 400, 200)] + 0.05 * rng.standard_normal((200, 16)).astype(np.float32)
     rows = [(i, None if i % 5 == 0 else "c", v.tolist()) for i, v in enumerate(np.vstack([x, near]))]
     expected = {(min(a, b), max(a, b)) for a, bs in brute(rows, 5, 0.975).items() for b in bs}
-    got = {tuple(r) for r in knn.neighbour_pairs(knn.nearest_neighbours(table(spark, rows), 16, 5, least=0.975, cell_rows=100)).collect()}
+    got = {tuple(r) for r in knn.neighbour_pairs(knn.nearest_neighbours(table(spark, rows), 16, 5, least=0.975, cell_rows=30)).collect()}
     assert got == expected and len(got) > 100
 
 
@@ -83,7 +96,7 @@ def test_codes_prefer_small_parallel_error():
     x = unit(clustered(7, 800))
     index = knn.fit_index(x, 800)
     cell = index.nearest(x, 1)[:, 0]
-    index.eta, plain = 10.0, knn.Index(index.centroids, index.words, index.blocks, 1.0)
+    index.eta, plain = 10.0, knn.Index(index.centroids, index.words, index.blocks, 1.0, index.parts)
 
     def parallel(codes):
         guess = index.centroids[cell] + index.words[np.arange(4), codes].reshape(len(x), -1)
