@@ -11,8 +11,10 @@ beyond MOST_CELLS centroids each cell is divided by centroids of the residuals,
 rows are cut into blocks, and a query visits all blocks of a cell.  Exact copies stand for one another: one of them is
 indexed, and results are spread over the class afterwards.
 
-Where only neighbours of a least similarity are asked for, nothing is lost: a query visits every cell whose border is near
-enough for one to lie behind it, and reranks every member whose table score plus coding error could reach its k-th best.
+Where only neighbours of a least similarity are asked for, a query visits every cell whose border is near, and reranks every member
+whose table score plus coding error could reach its k-th best; and a pair that one of its rows finds counts for the other too.  Two
+rows on either side of a border are apart by the sine of their angle at most, and across the border by that times 1 / sqrt(dim) in the
+root mean square; a pair is only missed if it reaches further than 2 * BORDER times that, and so stays unseen from both sides.
 Else the number of visited cells is fitted on the sample: as many as hold the nearest rows of the sample itself, but for one
 in fifty, which lie farther off than those of all rows.
 
@@ -40,6 +42,8 @@ CELL_ROWS, BLOCK_ROWS, MOST_CELLS, SAMPLE = 1000, 2000, 16384, 49152
 SUB, SCORE_FROM = 4, 0.2
 #: Candidates of a block that are reranked at first, for each neighbour asked for; rows of a task; share of near rows to be held.
 RERANK, TASK_ROWS, HOLD = 12, 8192, 0.98
+#: How far from a border, in standard deviations across it, a row looks behind it.
+BORDER = 2.5
 
 
 @dataclass
@@ -79,8 +83,10 @@ class Index:
     def visits(self, x: np.ndarray, probes: int | None, least: float | None) -> tuple[np.ndarray, np.ndarray]:
         """(row, part) of what each row's search visits.
 
-        A row y that is a member of c, not of c0, lies on c's side of the plane between the two; if y's cosine with x reaches
-        ``least``, x lies at most sin t on the other side of it, t being the angle of ``least`` (the same goes for parts, with the chord)."""
+        A row y that is a member of c, not of c0, lies on c's side of the plane between the two.  Where its cosine with x reaches
+        ``least``, whose angle is t, x lies at most sin t on the other side of it (the same goes for parts, with the chord); BORDER / sqrt(dim)
+        of that is looked at."""
+        share = min(1.0, BORDER / x.shape[1] ** 0.5)
         score = x @ self.centroids.T
         best = score.argmax(1)
         if least is None:
@@ -89,7 +95,7 @@ class Index:
         else:
             c, c0 = self.centroids, self.centroids[best]
             apart = np.sqrt(np.maximum(0, (c * c).sum(1) + (c0 * c0).sum(1)[:, None] - 2 * c0 @ c.T))
-            reach = 1.0 if least <= 0 else float(np.sqrt(1 - least * least))
+            reach = share * (1.0 if least <= 0 else float(np.sqrt(1 - least * least)))
             row, cell = np.nonzero(score >= np.take_along_axis(score, best[:, None], 1) - reach * apart - 1e-4)
         if len(self.parts) == 1:
             return row, cell
@@ -101,7 +107,7 @@ class Index:
                 i, j = np.nonzero(np.argsort(np.argsort(d, axis=1), axis=1) < -(-width // 4))
             else:
                 first = d.argmin(1)
-                chord = float(np.sqrt(max(0.0, 2 - 2 * least)))
+                chord = share * float(np.sqrt(max(0.0, 2 - 2 * least)))
                 i, j = np.nonzero(d - d.min(1, keepdims=True) <= 2 * chord * between[first] + 1e-3)
             rows.append(row[s + i])
             parts.append(cell[s + i] * width + j)
@@ -259,7 +265,7 @@ def _top(index: Index, q: np.ndarray, q_keys: np.ndarray, x_keys: np.ndarray, x:
 def nearest_neighbours(records: DataFrame, dim: int, k: int, key: str = "rec_no", collection: str = "collection_name", least: float | None = None, queries: Column | None = None, probes: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(key, neighbour, similarity, rank) of the k most similar rows of the same collection.
 
-    least: only neighbours of at least this similarity; then none is lost.  probes: cells that are visited otherwise (fitted on the
+    least: only neighbours of at least this similarity; then next to none is lost.  probes: cells that are visited otherwise (fitted on the
     sample, if None).  queries: which rows ask (all, if None); all rows answer.
     """
     asks = F.lit(True) if queries is None else F.coalesce(queries, F.lit(False))
@@ -339,6 +345,9 @@ def nearest_neighbours(records: DataFrame, dim: int, k: int, key: str = "rec_no"
     tasks = max(records.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
     placed = reps.mapInArrow(place, placed_schema).repartition(tasks, collection, "cell", "block")
     found = placed.groupBy(collection, "cell", "block").applyInPandas(search, f"`{key}` long, neighbour long, similarity double")
+    if least is not None:  # what the one finds holds for the other
+        back = found.select(F.col("neighbour").alias(key), F.col(key).alias("neighbour"), "similarity")
+        found = found.unionByName(back.join(reps.where("_asks").select(key), key, "left_semi") if queries is not None else back).groupBy(key, "neighbour").agg(F.max("similarity").alias("similarity"))
     found = _best(found, key, k).select(F.col(key).alias("_q"), F.col("neighbour").alias("_n"), "similarity")
 
     own = classes.where(F.col(key) == F.col("rep")).select(F.col("rep").alias("_q"), F.col("rep").alias("_n"), F.lit(1.0).alias("similarity"))
