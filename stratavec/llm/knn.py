@@ -8,7 +8,7 @@ the codes of the members (two codes a byte, one look-up of 256), the best are ke
 
 Centroids and words are fitted on a bounded sample (SAMPLE rows), everything is indexed.  There is a cell for every CELL_ROWS rows:
 beyond MOST_CELLS centroids each cell is divided by centroids of the residuals, which all cells share.  Cells that hold too many
-rows are cut into blocks, and a query visits all blocks of a cell.  Exact copies stand for one another: one of them is
+rows are cut into blocks; members of each block meet the rows that ask in tiles, so no group grows with a cell.  Exact copies stand for one another: one of them is
 indexed, and results are spread over the class afterwards.
 
 Where only neighbours of a least similarity are asked for, a query visits every cell whose border is near, and reranks every member
@@ -35,9 +35,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratavec.llm.vectors import copy_classes, first_members, hash_sample, kmeans, matrix, unit, usable_vectors
+from stratavec.session import cut_lineage
 
 #: Rows a cell aims at, rows of a block, most centroids, rows that cells and words are fitted on.
-CELL_ROWS, BLOCK_ROWS, MOST_CELLS, SAMPLE = 1000, 2000, 16384, 49152
+CELL_ROWS, BLOCK_ROWS, MOST_CELLS, SAMPLE = 1000, 4000, 16384, 49152
 #: Dimensions of a subspace and the cosine that scores matter from (it sets eta).
 SUB, SCORE_FROM = 4, 0.2
 #: Candidates of a block that are reranked at first, for each neighbour asked for; rows of a task; share of near rows to be held.
@@ -287,7 +288,7 @@ def nearest_neighbours(records: DataFrame, dim: int, k: int, key: str = "rec_no"
     heads = classes.where(F.col(key) == F.col("rep")).select(key, F.lit(True).alias("_head"))
     reps = reps.join(heads, key, "left").select(key, collection, (F.col("_asks") | F.col("_head").isNotNull()).alias("_asks"), "vec")
     reps = reps.withColumn("_asks", F.coalesce("_asks", F.lit(False)))
-    placed_schema = f"`{key}` long, `{collection}` string, cell int, block int, member boolean, asks boolean, vec binary, code binary"
+    placed_schema = f"`{key}` long, `{collection}` string, cell int, block long, member boolean, asks boolean, vec binary, code binary"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
@@ -302,30 +303,36 @@ def nearest_neighbours(records: DataFrame, dim: int, k: int, key: str = "rec_no"
             code = pack(ix.codes(x, nearest))
             own = ix.home(x, nearest)
             home = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % ix.blocks[own]
-            rows, cell_, block, member = [np.arange(len(x))], [own], [home], [np.ones(len(x), bool)]
+            turn = (keys.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(33)).astype(np.int64)  # where it asks
+
+            def spread(i: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+                """Each (row, part) once for every block of the part, with the number of blocks."""
+                of = ix.blocks[part]
+                return np.repeat(i, of), np.repeat(part, of), np.arange(of.sum()) - np.repeat(np.cumsum(of) - of, of), np.repeat(of, of)
+
+            # a block's members meet the rows that ask in tiles: members by the one number, those who ask by the other
+            i, part, b, of = spread(np.arange(len(x)), own)
+            rows, cell_, block, member, asks = [i], [part], [home[i] * of + b], [np.ones(len(i), bool)], [ask[i] & (turn[i] % of == b)]
             asking = np.flatnonzero(ask)
             step = max(64, 2_000_000 // len(ix.centroids))
             for s in range(0, len(asking), step):
-                mine = asking[s : s + step]
-                i, part = ix.visits(x[mine], probes, least)
-                i = mine[i]
-                of = ix.blocks[part]
-                i, part = np.repeat(i, of), np.repeat(part, of)
-                b = np.arange(len(i)) - np.repeat(np.cumsum(of) - of, of)
+                i, part = ix.visits(x[asking[s : s + step]], probes, least)
+                i, part, b, of = spread(asking[s : s + step][i], part)
                 go = (part != own[i]) | (b != home[i])
                 rows.append(i[go])
                 cell_.append(part[go])
-                block.append(b[go])
+                block.append((b * of + turn[i] % of)[go])
                 member.append(np.zeros(int(go.sum()), bool))
-            rows, member = np.concatenate(rows), np.concatenate(member)
+                asks.append(np.ones(int(go.sum()), bool))
+            rows, cell_, block, member, asks = map(np.concatenate, (rows, cell_, block, member, asks))
             codes = [c.tobytes() for c in code]
             for s in range(0, len(rows), 20_000):
                 r, m = rows[s : s + 20_000], member[s : s + 20_000]
                 take = pa.array(r)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(take), names.take(take), pa.array(np.concatenate(cell_)[s : s + 20_000], pa.int32()), pa.array(np.concatenate(block)[s : s + 20_000], pa.int32()),
-                        pa.array(m), pa.array(ask[r]), raw.take(take), pa.array([codes[i] if f else None for i, f in zip(r, m)], pa.binary()),
+                        batch.column(0).take(take), names.take(take), pa.array(cell_[s : s + 20_000], pa.int32()), pa.array(block[s : s + 20_000], pa.int64()),
+                        pa.array(m), pa.array(asks[s : s + 20_000]), raw.take(take), pa.array([codes[i] if f else None for i, f in zip(r, m)], pa.binary()),
                     ],
                     names=[key, collection, "cell", "block", "member", "asks", "vec", "code"],
                 )
@@ -346,6 +353,7 @@ def nearest_neighbours(records: DataFrame, dim: int, k: int, key: str = "rec_no"
     placed = reps.mapInArrow(place, placed_schema).repartition(tasks, collection, "cell", "block")
     found = placed.groupBy(collection, "cell", "block").applyInPandas(search, f"`{key}` long, neighbour long, similarity double")
     if least is not None:  # what the one finds holds for the other
+        found = cut_lineage(found)
         back = found.select(F.col("neighbour").alias(key), F.col(key).alias("neighbour"), "similarity")
         found = found.unionByName(back.join(reps.where("_asks").select(key), key, "left_semi") if queries is not None else back).groupBy(key, "neighbour").agg(F.max("similarity").alias("similarity"))
     found = _best(found, key, k).select(F.col(key).alias("_q"), F.col("neighbour").alias("_n"), "similarity")
