@@ -134,3 +134,16 @@ def _merge_batch(old: pd.Series, new: pd.Series) -> pd.Series:
 def merge_metadata(old: str, new: str) -> Column:
     """The shallow merge of two JSON columns, over Arrow batches."""
     return F.pandas_udf(_merge_batch, "string")(old, new)
+
+
+def _entries_batch(objects: pd.Series) -> pd.Series:
+    def entries(text):
+        found = split_object(text) if text is not None else None
+        return None if found is None else [{"name": json.dumps(k, ensure_ascii=False), "value": v} for k, v in found.items()]
+
+    return pd.Series([entries(t) for t in objects], dtype=object)
+
+
+def object_entries(text: str) -> Column:
+    """Top-level (name, value) of a JSON object, both as JSON text; null if it is none."""
+    return F.pandas_udf(_entries_batch, "array<struct<name:string,value:string>>")(text)

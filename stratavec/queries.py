@@ -253,11 +253,12 @@ def upsert_last_wins(spark, d):
 
 
 def update_merge(spark, d):
-    """Stored metadata after the last write of each record, where that write is an update."""
-    last = writes.replay(table(spark, d, "upserts")).where("op = 'update'").select("collection_name", "namespace", "id", "set_metadata")
-    old = table(spark, d, "records").select("collection_name", F.coalesce("namespace", F.lit("")).alias("namespace"), "id", rec.valid_json(F.col("metadata")).alias("metadata"))
-    merged = old.join(last, ["collection_name", "namespace", "id"]).withColumn("metadata", merge_metadata("metadata", "set_metadata"))
-    return merged.select("collection_name", "namespace", "id", field_text(F.col("metadata"), ["rev"]).alias("rev"), field_text(F.col("metadata"), ["category"]).alias("category"))
+    """The records that the whole log of writes changes or makes, after all their writes in order."""
+    key = ["collection_name", "namespace", "id"]
+    log = writes.delivered(table(spark, d, "upserts")).withColumns({"values": F.lit(None).cast("array<float>"), "text_content": F.lit(None).cast("string"), "set_metadata": rec.valid_json(F.col("set_metadata"))})
+    old = table(spark, d, "records").withColumns({"namespace": F.coalesce("namespace", F.lit("")), "metadata": rec.valid_json(F.col("metadata"))})
+    new = writes.applied(old, writes.fold(log, key, writes.IN_ORDER), key).where("not deleted")
+    return new.select(*key, field_text(F.col("metadata"), ["rev"]).alias("rev"), field_text(F.col("metadata"), ["category"]).alias("category"))
 
 
 def delete_filter(spark, d):
@@ -364,6 +365,12 @@ _LAST = """once AS (SELECT * EXCLUDE (namespace), coalesce(namespace, '') AS nam
     last AS (SELECT * FROM once QUALIFY row_number() OVER (PARTITION BY collection_name, namespace, id ORDER BY requested_at DESC, write_id DESC) = 1)"""
 
 
+def _later(field: str) -> str:
+    """The field as the last of the updates after the last upsert or delete sets it, and whether one does."""
+    sets = f"op = 'update' AND n > r AND json_type(s) = 'OBJECT' AND json_exists(s, '$.{field}')"
+    return f"bool_or({sets}) AS has_{field}, arg_max_null(json_extract_string(s, '$.{field}'), n) FILTER ({sets}) AS {field}"
+
+
 def _mean_sql(ids: str) -> str:
     return f"(SELECT list(x ORDER BY i) FROM (SELECT i, avg(v[i]) AS x FROM u, range(1, {DIM + 1}) AS g(i) WHERE id IN ({ids}) GROUP BY i))"
 
@@ -489,10 +496,14 @@ def oracle_sql() -> dict[str, str]:
         "fetch_ids": f"WITH {_U} SELECT id, len(f)::INTEGER AS dimension FROM u WHERE id IN {_USABLE_IDS.format(n=20)}",
         "fetch_by_metadata": f"WITH {_N} SELECT id, {_CAT} AS category FROM n WHERE {_CAT} = 'law' ORDER BY id LIMIT 15",
         "upsert_last_wins": f"WITH {_LAST} SELECT collection_name, namespace, id, op, write_id FROM last",
-        "update_merge": f"""WITH {_LAST}, l AS (SELECT collection_name, namespace, id, CASE WHEN json_valid(set_metadata) THEN set_metadata END AS s FROM last WHERE op = 'update'),
-            o AS (SELECT collection_name, coalesce(namespace, '') AS namespace, id, CASE WHEN json_valid(metadata) THEN metadata END AS m FROM records)
-            SELECT collection_name, namespace, id, CASE WHEN json_exists(s, '$.rev') THEN json_extract_string(s, '$.rev') ELSE json_extract_string(m, '$.rev') END AS rev,
-            CASE WHEN json_exists(s, '$.category') THEN json_extract_string(s, '$.category') ELSE json_extract_string(m, '$.category') END AS category FROM o JOIN l USING (collection_name, namespace, id)""",
+        "update_merge": f"""WITH {_LAST}, w AS (SELECT collection_name, namespace, id, op, CASE WHEN json_valid(set_metadata) THEN set_metadata END AS s,
+                row_number() OVER (PARTITION BY collection_name, namespace, id ORDER BY requested_at NULLS FIRST, write_id) AS n FROM once),
+            z AS (SELECT *, coalesce(max(CASE WHEN op <> 'update' THEN n END) OVER (PARTITION BY collection_name, namespace, id), 0) AS r FROM w),
+            k AS (SELECT collection_name, namespace, id, max(CASE WHEN n = r THEN op END) AS reset, max(CASE WHEN n = r THEN s END) AS base, {_later("rev")}, {_later("category")} FROM z GROUP BY ALL),
+            o AS (SELECT collection_name, coalesce(namespace, '') AS namespace, id, CASE WHEN json_valid(metadata) THEN metadata END AS m, true AS known FROM records),
+            f AS (SELECT k.*, CASE WHEN reset = 'upsert' THEN base ELSE m END AS b FROM k LEFT JOIN o USING (collection_name, namespace, id) WHERE reset = 'upsert' OR reset IS NULL AND known)
+            SELECT collection_name, namespace, id, CASE WHEN has_rev THEN rev ELSE json_extract_string(b, '$.rev') END AS rev,
+            CASE WHEN has_category THEN category ELSE json_extract_string(b, '$.category') END AS category FROM f""",
         "delete_filter": f"WITH {_R} SELECT namespace, count(*) AS record_count FROM r WHERE NOT coalesce({_CAT} = 'law', false) GROUP BY 1",
         "alias_resolve": "SELECT alias, collection_name, dimension, metric, status FROM aliases a JOIN collections c ON a.collection_name = c.name",
     }

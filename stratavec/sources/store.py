@@ -1,9 +1,9 @@
 """Versioned storage of a collection's records.
 
 A version is a manifest: a base folder and the deltas since.  A delta holds the last state of each key it touches, or its
-deletion.  A write adds a delta and then the next manifest, so readers see whole versions, no file that is read is
-ever overwritten, and a write costs what it touches.  ``compact`` writes a new base, ordered by namespace and id so that
-Parquet statistics prune namespaces.
+deletion.  A write adds a delta and then creates the next manifest, which only one writer can; so readers see whole versions, no file
+that is read is ever overwritten, and a write costs what it touches.  The version is that of the last manifest.  ``compact`` writes a new
+base, ordered by namespace and id so that Parquet statistics prune namespaces; a write that leaves more than MOST_DELTAS does so too.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from stratavec.operators.browse import latest
 from stratavec.sources.files import Folder
 from stratavec.sources.records import SCHEMA
 
+#: Deltas that are read beside the base.
+MOST_DELTAS = 16
 KEY = ["namespace", "id"]
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
@@ -26,7 +28,8 @@ class RecordStore:
         self.spark, self.root = spark, root
 
     def manifest(self) -> dict:
-        return self.root.read("current.json") or {"version": 0, "base": None, "deltas": []}
+        names = self.root.names("manifest-")
+        return self.root.read(names[-1]) if names else {"version": 0, "base": None, "deltas": []}
 
     def _read(self, name: str, schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(f"{self.root.uri}/{name}")
@@ -44,13 +47,11 @@ class RecordStore:
         last = latest(every, KEY, ["_seq"])
         return base.join(last.select(*KEY), KEY, "left_anti").select(*COLUMNS).unionByName(last.where("not deleted").select(*COLUMNS))
 
-    def _commit(self, m: dict, **changes) -> None:
-        now = self.manifest()
-        if now["version"] != m["version"]:
-            raise RuntimeError("the collection was changed by another writer")
+    def _commit(self, m: dict, **changes) -> dict:
         new = {**m, **changes, "version": m["version"] + 1}
-        self.root.write(f"manifest-{new['version']:08d}.json", new)
-        self.root.write("current.json", new)
+        if not self.root.create(f"manifest-{new['version']:012d}.json", new, self.spark):
+            raise RuntimeError("the collection was changed by another writer")
+        return new
 
     def put(self, rows: DataFrame) -> None:
         """Insert or replace whole rows; keys must be unique in ``rows``."""
@@ -64,7 +65,12 @@ class RecordStore:
         m = self.manifest()
         name = f"delta-{uuid.uuid4().hex}"
         delta.select(*COLUMNS, "deleted").write.parquet(f"{self.root.uri}/{name}")
-        self._commit(m, deltas=[*m["deltas"], name])
+        if len(self._commit(m, deltas=[*m["deltas"], name])["deltas"]) > MOST_DELTAS:
+            self.compact()
+
+    def change(self, rows: DataFrame) -> None:
+        """Insert, replace and delete in one commit: whole rows with ``deleted``; keys must be unique."""
+        self._add(rows)
 
     def compact(self) -> None:
         m = self.manifest()

@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stratavec.operators.browse import latest
-from stratavec.operators.writes import updated, upserted
-from stratavec.sources.store import RecordStore
+from stratavec.operators.writes import IN_ORDER, applied, fold
+from stratavec.sources.store import KEY, RecordStore
 
 
 def once(stream: DataFrame, delay: str = "2 days") -> DataFrame:
@@ -17,16 +16,11 @@ def once(stream: DataFrame, delay: str = "2 days") -> DataFrame:
 
 
 def apply_writes(store: RecordStore, batch: DataFrame) -> None:
-    """One micro-batch (write_id, id, namespace, op, values, text_content, set_metadata): of each key the last write holds."""
-    last = latest(batch.withColumn("namespace", F.coalesce("namespace", F.lit(""))), ["namespace", "id"], ["write_id"]).persist()
-    try:
-        old = store.read()
-        puts = upserted(old, last.where("op = 'upsert'").withColumnRenamed("set_metadata", "metadata"))
-        changed = updated(old, last.where("op = 'update'"))
-        store.put(puts.unionByName(changed))
-        store.remove(last.where("op = 'delete'"))
-    finally:
-        last.unpersist()
+    """One micro-batch (write_id, id, namespace, op, values, text_content, set_metadata[, requested_at]): the writes of each key in the
+    order of their requests, then of write_id; one commit, so that readers see all of the batch or nothing."""
+    order = IN_ORDER if "requested_at" in batch.columns else IN_ORDER[1:]
+    folded = fold(batch.withColumn("namespace", F.coalesce("namespace", F.lit(""))), KEY, order)
+    store.change(applied(store.read(), folded))
 
 
 def follow(stream: DataFrame, store: RecordStore, checkpoint: str, **trigger) -> StreamingQuery:
