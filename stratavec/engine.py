@@ -41,37 +41,63 @@ class Engine:
         new = self.catalog.update(name, deletionProtected=request.get("deletionProtected"), tags=request.get("tags"), bm25Enabled=request.get("bm25Enabled"))
         if request.get("bm25Enabled"):
             self.rebuild_postings(name)
+        elif request.get("bm25Enabled") is False:
+            self._drop_indexes(new, "postings")
         return new
 
     def delete_collection(self, name: str) -> None:
-        c = self.catalog.get(name)
-        self.catalog.drop(name)
+        c = self.catalog.begin_drop(name)  # ``deleting`` until its data is gone
         self._store(c).drop()
+        self.catalog.drop(name)
 
     def describe(self, name: str) -> dict:
         c = self.catalog.get(name)
-        ready = c["status"] == "ready"
-        return {k: v for k, v in c.items() if k not in ("status", "namespaces")} | {"status": {"ready": ready, "state": "Ready" if ready else "Initializing"}}
+        return _described(c)
+
+    def collections(self) -> list[dict]:
+        """All collections with their states, in the order they were made."""
+        return [_described(c) for c in self.catalog.all()]
 
     def stats(self, name: str) -> DataFrame:
         return browse.namespace_counts(self._store(self.catalog.get(name)).read())
 
+    def total(self, name: str) -> dict:
+        """Counts of the collection and of its namespaces."""
+        counts = {r.namespace: r.record_count for r in self.stats(name).collect()}  # a row a namespace
+        return {"totalRecordCount": sum(counts.values()), "namespaces": counts, "dimension": self.catalog.get(name)["dimension"]}
+
     def vacuum(self, name: str) -> None:
         self._store(self.catalog.get(name)).compact()
 
-    def reindex(self, name: str, cells: int | None = None) -> ann.InvertedFile:
+    def reindex(self, name: str, cells: int | None = None) -> dict:
+        """Builds and keeps the inverted file, and the keyword index where there is one, of the current version."""
         c = self.catalog.get(name)
-        return ann.build(self._store(c).read(), c["metric"], c["dimension"], cells)
+        index = ann.build(self._store(c).read(), c["metric"], c["dimension"], cells)
+        index.write(self._index_folder(c, "nearest"))
+        if c["bm25Enabled"]:
+            self.rebuild_postings(name)
+        return {"collection": c["name"], "cells": len(index.centroids), "visitedShare": index.share}
 
     def rebuild_postings(self, name: str) -> str:
         """The keyword index of the current version, written by term; its folder."""
         c = self.catalog.get(name)
-        at = f"{self.root.uri}/{c['id']}/postings-{self._store(c).manifest()['version']}"
-        postings, stats = retrieval.build_postings(self._store(c).read())
-        postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{at}/postings")
-        stats.write.mode("overwrite").parquet(f"{at}/stats")
+        at = self._index_folder(c, "postings")
+        retrieval.write_postings(self._store(c).read(), at)
         return at
 
+    def _index_folder(self, c: dict, kind: str) -> str:
+        return f"{self.root.uri}/{c['id']}/{kind}-{self._store(c).manifest()['version']}"
+
+    def _fresh(self, c: dict, kind: str, last: str) -> str | None:
+        """The folder of an index of the current version, if it was written to the end."""
+        at = self._index_folder(c, kind)
+        return at if Folder(f"{at}/{last}").names("_SUCCESS") else None
+
+    def _drop_indexes(self, c: dict, kind: str) -> None:
+        folder = self.root.sub(c["id"])
+        for name in folder.names(f"{kind}-"):
+            folder.sub(name).delete()
+
     def _store(self, c: dict) -> RecordStore:
         return RecordStore(self.spark, self.root.sub(c["id"]))
 
@@ -96,6 +122,8 @@ class Engine:
                 raise invalid("an id has 1 to 512 bytes")
             if r.get("sparseValues") is not None:
                 raise EngineError("SPARSE_NOT_SUPPORTED", "sparse vectors aren't supported", recordId=r["id"])
+            if r.get("values") is not None and r.get("text") is not None and c["embedder"]:
+                raise EngineError("VALUES_AND_TEXT_CONFLICT", "a collection with an embedder takes values or text of a record, not both", recordId=r["id"])
             if r.get("values") is None and (r.get("text") is None or not c["embedder"]):
                 raise EngineError("TEXT_REQUIRED" if c["embedder"] else "INVALID_ARGUMENT", "a record needs values, or text where the collection has an embedder", recordId=r["id"])
             if r.get("values") is not None and len(r["values"]) != c["dimension"]:
@@ -156,7 +184,7 @@ class Engine:
         elif request.get("filter") is not None:
             keys = rows.where(predicate(request["filter"]))
         else:
-            raise invalid("delete needs 'ids', 'deleteAll' or 'filter'")
+            raise invalid("say what to delete: ids, a filter or everything")
         store.remove(keys)
         return {}
 
@@ -221,10 +249,10 @@ class Engine:
                 raise EngineError("NOT_FOUND", f"record {id_!r} not found")
             return row[0] or []
 
-        def by_text(text: str) -> list[float]:
+        def by_text(text: str, fresh: bool) -> list[float]:
             if not c["embedder"]:
                 raise EngineError("EMBEDDER_CONFIG", "the collection has no embedder")
-            vector = self.cache.get(self.embedders.get(c["embedder"]), text)
+            vector = self.cache.get(self.embedders.get(c["embedder"]), text, fresh)
             if len(vector) != c["dimension"]:
                 raise EngineError("EMBEDDER_DIMENSION_MISMATCH", "the embedder gives another dimension", expected=c["dimension"], got=len(vector))
             return vector
@@ -237,7 +265,10 @@ class Engine:
 
     def _run(self, name: str, request: dict, kind: str) -> DataFrame:
         c, plan = self.compile(name, request, kind)
-        return lower(plan, self._store(c).read(), c["metric"], self.reranker)
+        words = self._fresh(c, "postings", "stats") if plan.source.kind == "hybrid" else None
+        near = self._fresh(c, "nearest", "head") if plan.source.kind == "dense" and plan.filter is None else None
+        keywords = retrieval.read_postings(self.spark, words) if words else None
+        return lower(plan, self._store(c).read(), c["metric"], self.reranker, keywords, ann.read(self.spark, near) if near else None)
 
     def search(self, name: str, request: dict, explain: bool = False) -> DataFrame | dict:
         return {"plan": self.compile(name, request)[1].explain()} if explain else self._run(name, request, "search")
@@ -258,7 +289,7 @@ class Engine:
     def recommend(self, name: str, request: dict) -> DataFrame:
         positive, negative = request.get("positiveIds") or [], request.get("negativeIds") or []
         if not positive:
-            raise invalid("positiveIds must not be empty")
+            raise invalid("there is no positive id")
         if len(positive) + len(negative) > 100:
             raise invalid("at most 100 ids")
         top_k = request.get("topK")
@@ -276,6 +307,11 @@ class Engine:
         return out.select(*shown)
 
 
+def _described(c: dict) -> dict:
+    state = {"ready": "Ready", "deleting": "Terminating"}.get(c["status"], "Initializing")
+    return {k: v for k, v in c.items() if k not in ("status", "namespaces")} | {"status": {"ready": c["status"] == "ready", "state": state}}
+
+
 def recommend_cut(found: DataFrame, without: list[str], k: int, least: float | None = None) -> DataFrame:
     """The first k that aren't among the ids asked with; then the threshold."""
     from pyspark.sql import Window

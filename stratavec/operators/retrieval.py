@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratavec.functions.metrics import score, score_to
@@ -70,13 +70,34 @@ def build_postings(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return postings, stats
 
 
-def bm25_postings(postings: DataFrame, stats: DataFrame, text: str, k: int) -> DataFrame:
-    """The k best of an index for the query's different terms."""
+def write_postings(records: DataFrame, folder: str) -> None:
+    """The keyword index as files, in the order of terms, so that a query's terms are found by the files' statistics."""
+    postings, stats = build_postings(records)
+    postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
+    stats.write.mode("overwrite").parquet(f"{folder}/stats")
+
+
+def read_postings(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    postings = "term string, id string, namespace string, tf long, dl int"
+    return spark.read.schema(postings).parquet(f"{folder}/postings"), spark.read.schema("n_docs long, avgdl double").parquet(f"{folder}/stats")
+
+
+def _postings_scores(postings: DataFrame, stats: DataFrame, text: str) -> DataFrame:
+    """(id, namespace, score) of all documents with one of the query's different terms; only their terms' rows are read."""
     mine = postings.where(F.col("term").isin(query_terms(text)))
     df = mine.groupBy("term").agg(F.count("*").alias("df"))
     one = mine.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats))  # a row a query term; one row
     part = _idf(F.col("n_docs"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return _top(one.groupBy("id", "namespace").agg(F.round(F.sum(part), DIGITS).alias("score")), k)
+    return one.groupBy("id", "namespace").agg(F.round(F.sum(part), DIGITS).alias("score"))
+
+
+def bm25_postings(postings: DataFrame, stats: DataFrame, text: str, k: int, records: DataFrame | None = None, matching: Column | None = None) -> DataFrame:
+    """The k best of an index.  With the records it is of, the rows have their columns, and ``matching`` says which may be found."""
+    scored = _postings_scores(postings, stats, text)
+    if matching is not None:
+        scored = scored.join(records.where(matching).select("id", "namespace"), ["id", "namespace"], "left_semi")
+    best = _top(scored, k)
+    return best if records is None else records.join(F.broadcast(best), ["id", "namespace"])  # MOST rows at most
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -126,7 +147,9 @@ def fuse(dense_leg: DataFrame, keyword_leg: DataFrame, k: int, alpha: float = 0.
     return _top(both.select("id", "namespace", *kept, (part("_dense", alpha) + part("_words", other)).alias("score")), k)
 
 
-def hybrid(records: DataFrame, vector: Sequence[float], text: str, metric: str, k: int, matching: Column | None = None, alpha: float = 0.5, bm25_weight: float | None = None) -> DataFrame:
+def hybrid(records: DataFrame, vector: Sequence[float], text: str, metric: str, k: int, matching: Column | None = None, alpha: float = 0.5, bm25_weight: float | None = None, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """Fused top-k; index: postings and statistics of the records, where they were built."""
     pool = pool_size(k)
     mine = records if matching is None else records.where(matching)
-    return fuse(dense(mine, vector, metric, pool), bm25(records, text, pool, matching), k, alpha, bm25_weight)
+    words = bm25(records, text, pool, matching) if index is None else bm25_postings(*index, text, pool, records, matching)
+    return fuse(dense(mine, vector, metric, pool), words, k, alpha, bm25_weight)

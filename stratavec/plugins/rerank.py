@@ -56,7 +56,7 @@ PROVIDERS = {
     "cohere": Provider("https://api.cohere.com/v2/rerank", ("Authorization", "Bearer {key}"), "rerank-v3.5"),
     "voyage": Provider("https://api.voyageai.com/v1/rerank", ("Authorization", "Bearer {key}"), "rerank-2", top="top_k", results="data", extra={"truncation": True}),
     "jina": Provider("https://api.jina.ai/v1/rerank", ("Authorization", "Bearer {key}"), "jina-reranker-v2-base-multilingual"),
-    "pinecone": Provider("https://api.pinecone.io/rerank", ("Api-Key", "{key}"), "bge-reranker-v2-m3", results="data", score="score", max_candidates=100, wrap=lambda t: {"text": t}),
+    "pinecone": Provider("https://api.pinecone.io/rerank", ("Api-Key", "{key}"), "pinecone-rerank-v0", results="data", score="score", max_candidates=100, wrap=lambda t: {"text": t}),
 }
 
 
@@ -89,7 +89,7 @@ class HttpReranker:
 
 
 class CrossEncoder:
-    """A text-inference server: raw logits, no retry, no choice of model."""
+    """A text-inference server, which cuts long texts itself; no retry, no choice of model."""
 
     max_candidates = 1000
 
@@ -99,7 +99,7 @@ class CrossEncoder:
     def scores(self, query, texts, before, model=None):
         if not texts:
             return []
-        answer = send_with_retry(self.transport, self.url, {}, {"query": query, "texts": list(texts), "raw_scores": True}, 0, "RERANKER")
+        answer = send_with_retry(self.transport, self.url, {}, {"query": query, "texts": list(texts), "truncate": True}, 0, "RERANKER")
         out = [float("-inf")] * len(texts)
         for r in answer:
             out[r["index"]] = float(r["score"])

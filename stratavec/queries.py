@@ -6,10 +6,12 @@ operator.  Queries run over whole tables; a limit is the operator's own.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratavec.functions.geo import EARTH_RADIUS
@@ -20,8 +22,9 @@ from stratavec.plans.ast import Plan, Source, Stage
 from stratavec.plans.lower import lower
 from stratavec.plugins.embed import HashProjection, embed_column
 from stratavec.plugins.rerank import LexicalOverlap
-from stratavec.session import table
+from stratavec.session import shared_folder, table
 from stratavec.sources import records as rec
+from stratavec.sources.files import Folder
 
 COLLECTION, NAMESPACE, DIM = "atlas-pages", "wiki-main", 96
 QUERY = [float(np.float32(math.sin(i + 1))) for i in range(DIM)]
@@ -105,7 +108,11 @@ def bm25_topk(spark, d):
 
 
 def bm25_indexed(spark, d):
-    return _matches(retrieval.bm25_postings(*retrieval.build_postings(_docs(spark, d)), TEXT, 10))
+    """From an index in the shared folder, which the first query of a session writes."""
+    at = f"{shared_folder(spark)}/postings-{hashlib.sha1(d.encode()).hexdigest()}"
+    if not Folder(f"{at}/stats").names("_SUCCESS"):
+        retrieval.write_postings(_docs(spark, d), at)
+    return _matches(retrieval.bm25_postings(*retrieval.read_postings(spark, at), TEXT, 10))
 
 
 def hybrid_rrf(spark, d):
@@ -165,8 +172,26 @@ def ann_ivf(spark, d):
     return _matches(ann.build(_usable(_main(spark, d)), "cosine", DIM).search(QUERY, 10))
 
 
+def ann_recall(spark, d):
+    """Whether the index finds nine in ten of the ten best of every fiftieth usable record of the namespace, by each metric."""
+    main = _usable(_main(spark, d)).withColumn("_no", F.row_number().over(Window.partitionBy("namespace").orderBy("id")))
+    asks = [(r.id, r["values"]) for r in main.where("_no % 50 = 1").limit(50).select("id", "values").collect()]
+    out = []
+    for metric in ("cosine", "euclidean", "dotproduct"):
+        index = ann.build(_usable(_main(spark, d)), metric, DIM)
+        found = [index.candidates(q).select(F.lit(k).alias("q"), "id") for k, (_, q) in enumerate(asks)]
+        queries = spark.createDataFrame([(str(k), q) for k, (_, q) in enumerate(asks)], "query_id string, query array<float>")
+        exact = retrieval.batch(_main(spark, d), queries, metric, 10).select(F.col("query_id").cast("int").alias("q"), "id")
+        visited = reduce(DataFrame.unionByName, found).distinct()
+        held = exact.join(visited, ["q", "id"], "left_semi").count() / max(1, exact.count())
+        out.append((metric, held >= 0.9))
+    return spark.createDataFrame(out, "metric string, at_least_nine_in_ten boolean")
+
+
 def embed_text(spark, d):
-    return _docs(spark, d).select("id", F.size(embed_column(HashProjection("16"))("text_content")).alias("dimension"))
+    """Embeddings of texts: the mean length, and how many differ, of the copies of a text."""
+    rows = _docs(spark, d).where(F.length("text_content") > 0).select("text_content", embed_column(HashProjection("16"))("text_content").alias("v"))
+    return rows.groupBy(F.md5("text_content").alias("content")).agg(F.count("*").alias("copies"), F.count_distinct("v").alias("embeddings"), F.max(F.size("v")).alias("dimension"))
 
 
 # ---------------------------------------------------------------- filters
@@ -175,6 +200,7 @@ FILTERS = {
     "eq": CATEGORY,
     "ne": {"category": {"$ne": "law"}},
     "range_num": {"word_count": {"$gte": 400, "$lt": 700}},
+    "lte": {"word_count": {"$lte": 300}},
     "range_ts": {"published_at": {"$gte": "2023-01-01T00:00:00Z", "$lt": "2024-01-01T00:00:00Z"}},
     "in": {"category": {"$in": ["law", "music"]}},
     "nin": {"category": {"$nin": ["law", "music"]}},
@@ -229,7 +255,7 @@ def list_prefix(spark, d):
 
 
 def scroll_page(spark, d):
-    return browse.scroll(apply_filter(_main(spark, d), {"category": {"$exists": True}}), "doc-00000005", 20).select("id", F.xxhash64("metadata").isNotNull().alias("has_metadata"))
+    return browse.scroll(apply_filter(_main(spark, d), {"category": {"$exists": True}}), "doc-00000005", 20).select("id", field_text(F.col("metadata"), ["category"]).alias("category"))
 
 
 def fetch_ids(spark, d):
@@ -276,7 +302,7 @@ def queries() -> dict:
     out |= {f"p1_{name}": _metadata_table(name) for name in ("records", "sections", "citations", "notes", "links", "contributors", "affiliations", "units", "steps", "warnings", "tags", "values")}
     out["p1_contributor_names"] = contributor_names
     out |= {"dense_cosine": _dense("cosine"), "dense_euclidean": _dense("euclidean"), "dense_dot": _dense("dotproduct")}
-    plain = [dense_by_id, dense_filtered, batch_topk, bm25_topk, bm25_indexed, hybrid_rrf, hybrid_filtered, threshold, dedup, group_by, truncate, search_plan, rerank_lexical, ann_ivf, embed_text]
+    plain = [dense_by_id, dense_filtered, batch_topk, bm25_topk, bm25_indexed, hybrid_rrf, hybrid_filtered, threshold, dedup, group_by, truncate, search_plan, rerank_lexical, ann_ivf, ann_recall, embed_text]
     plain += [filter_geo_radius, filter_geo_bbox, facets, facets_filtered, facets_events, namespace_stats, namespaces_distinct, list_prefix, scroll_page, fetch_ids, fetch_by_metadata, sample]
     plain += [upsert_last_wins, update_merge, delete_filter, alias_resolve]
     out |= {f.__name__: f for f in plain}
@@ -347,6 +373,7 @@ _SQL_FILTER = {
     "eq": f"{_CAT} = 'law'",
     "ne": f"{_CAT} <> 'law'",
     "range_num": f"{_WC} >= 400 AND {_WC} < 700",
+    "lte": f"{_WC} <= 300",
     "range_ts": f"{_TS} >= TIMESTAMPTZ '2023-01-01 00:00:00+00' AND {_TS} < TIMESTAMPTZ '2024-01-01 00:00:00+00'",
     "in": f"{_CAT} IN ('law', 'music')",
     "nin": f"{_CAT} NOT IN ('law', 'music')",
@@ -481,7 +508,8 @@ def oracle_sql() -> dict[str, str]:
         "rerank_lexical": f"""WITH {_U}, p AS ({pool}), t AS (SELECT rank AS r, id, coalesce(CASE WHEN json_type(m, '$.category') = 'VARCHAR' THEN {_CAT} END, CASE WHEN json_type(m, '$.text') = 'VARCHAR' THEN json_extract_string(m, '$.text') END, id) AS t FROM p),
             s AS (SELECT r, id, len(list_intersect(list_distinct(string_split('{TEXT}', ' ')), regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+'))) / {len(TEXT.split())}.0 AS score FROM t)
             SELECT row_number() OVER (ORDER BY score DESC, r) AS rank, id, round(score, 6) AS score FROM s ORDER BY rank LIMIT 10""",
-        "embed_text": "SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN text IS NOT NULL THEN 16 END AS dimension FROM documents",
+        "embed_text": "SELECT md5(text) AS content, count(*) AS copies, 1 AS embeddings, 16 AS dimension FROM documents WHERE length(text) > 0 GROUP BY 1",
+        "ann_recall": "SELECT unnest(['cosine', 'euclidean', 'dotproduct']) AS metric, true AS at_least_nine_in_ten",
         "recommend_pos": _recommend_sql(False),
         "recommend_pos_neg": _recommend_sql(True),
         "filter_geo_radius": f"SELECT CAST(event_id AS VARCHAR) AS id FROM events WHERE {haversine} <= 4000000",
@@ -492,7 +520,7 @@ def oracle_sql() -> dict[str, str]:
         "namespace_stats": f"WITH {_R} SELECT namespace, count(*) AS record_count FROM r GROUP BY 1",
         "namespaces_distinct": f"WITH {_R} SELECT DISTINCT namespace FROM r",
         "list_prefix": f"WITH {_N} SELECT id FROM n WHERE starts_with(id, 'doc-') AND id > 'doc-00000005' ORDER BY id LIMIT 25",
-        "scroll_page": f"WITH {_N} SELECT id, true AS has_metadata FROM n WHERE {_CAT} IS NOT NULL AND id > 'doc-00000005' ORDER BY id LIMIT 21",
+        "scroll_page": f"WITH {_N} SELECT id, {_CAT} AS category FROM n WHERE {_CAT} IS NOT NULL AND id > 'doc-00000005' ORDER BY id LIMIT 21",
         "fetch_ids": f"WITH {_U} SELECT id, len(f)::INTEGER AS dimension FROM u WHERE id IN {_USABLE_IDS.format(n=20)}",
         "fetch_by_metadata": f"WITH {_N} SELECT id, {_CAT} AS category FROM n WHERE {_CAT} = 'law' ORDER BY id LIMIT 15",
         "upsert_last_wins": f"WITH {_LAST} SELECT collection_name, namespace, id, op, write_id FROM last",

@@ -66,10 +66,14 @@ class Catalog:
         self._save(c)
         return c["collections"][name]
 
-    def drop(self, name: str) -> None:
-        c = self._load()
+    def begin_drop(self, name: str) -> dict:
+        """The collection, which nothing resolves any more."""
         if self.get(name)["deletionProtected"]:
             raise EngineError("PERMISSION_DENIED", f"collection {name!r} is protected")
+        return self.update(name, status="deleting")
+
+    def drop(self, name: str) -> None:
+        c = self._load()
         del c["collections"][name]
         self._save(c)
 

@@ -14,7 +14,7 @@ def rows(records):
 def test_facets(rows):
     assert [tuple(r) for r in browse.facets(rows, "category").collect()] == [("Electronics", 3), ("Books", 2)]
     assert [r["count"] for r in browse.facets(rows, "o.x", 2).collect()] == [1, 1]
-    for bad in ("bad field", "'; DROP TABLE--", "123", "", "a" * 101):
+    for bad in ("bad field", "a'b;--", "123", "", "a" * 101):
         with pytest.raises(EngineError):
             browse.facets(rows, bad)
     with pytest.raises(EngineError):

@@ -12,7 +12,7 @@ from stratavec.plugins.rerank import LexicalOverlap
 def engine(spark, tmp_path_factory):
     e = Engine(spark, str(tmp_path_factory.mktemp("engine")), LexicalOverlap())
     e.create_collection({"name": "c", "dimension": 3})
-    rows = [("n1", [0.9, 0.1, 0], {"doc": "news", "k": 1}, "the quick brown fox"), ("n2", [0.8, 0.2, 0], {"doc": "news", "k": 2}, "quick fox"), ("n3", [0.7, 0.3, 0], {"doc": "news"}, None), ("s1", [0.6, 0.4, 0], {"doc": "sports"}, "lazy dog"), ("s2", [0.5, 0.5, 0], {"doc": "sports"}, None)]
+    rows = [("n1", [0.9, 0.1, 0], {"doc": "news", "k": 1}, "an amber kite glides"), ("n2", [0.8, 0.2, 0], {"doc": "news", "k": 2}, "amber kite"), ("n3", [0.7, 0.3, 0], {"doc": "news"}, None), ("s1", [0.6, 0.4, 0], {"doc": "sports"}, "wet stones"), ("s2", [0.5, 0.5, 0], {"doc": "sports"}, None)]
     e.upsert("c", {"records": [{"id": i, "values": v, "metadata": m, "text": t} for i, v, m, t in rows]})
     e.upsert("c", {"records": [{"id": "n1", "values": [0, 0, 1]}], "namespace": "other"})
     return e
@@ -61,8 +61,8 @@ def test_groups_and_stages(engine):
 
 
 def test_hybrid_and_explain(engine):
-    assert set(ids(engine.query_hybrid("c", {"vector": [0, 1, 0], "text": "quick fox", "topK": 5}))) >= {"n1", "n2"}
-    assert ids(engine.search("c", {"vector": [1, 0, 0], "text": "lazy", "topK": 1, "hybrid": {"alpha": 0.0}})) == ["s1"]
+    assert set(ids(engine.query_hybrid("c", {"vector": [0, 1, 0], "text": "amber kite", "topK": 5}))) >= {"n1", "n2"}
+    assert ids(engine.search("c", {"vector": [1, 0, 0], "text": "stones", "topK": 1, "hybrid": {"alpha": 0.0}})) == ["s1"]
     plan = engine.search("c", {"vector": [1, 0, 0], "topK": 3, "scoreThreshold": 0.5, "rerank": {"query": "q"}}, explain=True)["plan"]
     assert plan["source"]["kind"] == "dense" and [s["kind"] for s in plan["stages"]] == ["rerank", "scoreThreshold"] and plan["retrieveK"] == 15
     fails("INVALID_ARGUMENT", engine.search, "c", {"id": "n1", "hybrid": True, "topK": 1})
@@ -132,7 +132,27 @@ def test_pages(engine):
     assert engine.sample("p", {"size": 3}).count() == 3
     assert engine.fetch_by_metadata("p", {"filter": {"s": {"$eq": 1}}, "limit": 1}).first().id == "v1"
     assert [r["count"] for r in engine.facets("p", {"field": "s"}).collect()] == [3, 2]
-    assert engine.reindex("p", 2).search([1.0], 5).count() == 5
+    assert engine.total("p") == {"totalRecordCount": 5, "namespaces": {"": 5}, "dimension": 1}
+
+
+def test_indexes_are_read_while_they_are_fresh(engine):
+    ask = {"vector": [1, 0, 0], "text": "amber", "topK": 3}
+    plain = {k: [tuple(r) for r in engine.query_hybrid("c", {**ask, **more}).orderBy("rank").collect()] for k, more in enumerate(({}, {"filter": {"k": {"$gte": 2}}}))}
+    near = ids(engine.query("c", {"vector": [1, 0, 0], "topK": 3}))
+    engine.reindex("c", 2)
+
+    def files(df):
+        return " ".join(df.inputFiles())
+
+    for k, more in enumerate(({}, {"filter": {"k": {"$gte": 2}}})):
+        found = engine.query_hybrid("c", {**ask, **more})
+        assert [tuple(r) for r in found.orderBy("rank").collect()] == plain[k] and "/postings-" in files(found)
+        assert "In(term, [amber])" in found._jdf.queryExecution().toString() or "EqualTo(term,amber)" in found._jdf.queryExecution().toString()
+    found = engine.query("c", {"vector": [1, 0, 0], "topK": 3})
+    assert ids(found) == near and "/nearest-" in files(found)
+    assert "/nearest-" not in files(engine.query("c", {"vector": [1, 0, 0], "topK": 3, "filter": {"k": {"$gte": 1}}}))
+    engine.upsert("c", {"records": [{"id": "n1", "values": [0, 0, 1]}], "namespace": "other"})
+    assert "/nearest-" not in files(engine.query("c", {"vector": [1, 0, 0], "topK": 3})) and "/postings-" not in files(engine.query_hybrid("c", ask))
 
 
 def test_control(engine):
@@ -154,6 +174,10 @@ def test_control(engine):
     engine.catalog.drop_alias("nick")
     engine.catalog.update("kept", status="initializing")
     fails("INDEX_NOT_READY", engine.query, "kept", {"vector": [1, 0, 0], "topK": 1})
+    assert {c["name"]: c["status"]["state"] for c in engine.collections()}["kept"] == "Initializing"
+    engine.catalog.begin_drop("kept")
+    assert {c["name"]: c["status"]["state"] for c in engine.collections()}["kept"] == "Terminating"
+    fails("INDEX_NOT_READY", engine.query, "kept", {"vector": [1, 0, 0], "topK": 1})
     engine.delete_collection("kept")
     fails("COLLECTION_NOT_FOUND", engine.describe, "kept")
     assert "c" in [c["name"] for c in engine.catalog.all()] and [a["alias"] for a in engine.catalog.aliases()] == ["nick2"]
@@ -164,9 +188,15 @@ def test_embedded_collection(engine):
     fails("EMBEDDER_DIMENSION_MISMATCH", engine.create_collection, {"name": "e", "dimension": 3, "embedder": config})
     fails("EMBEDDER_CONFIG", engine.create_collection, {"name": "e", "dimension": 3, "embedder": {"backend": "x", "model": "y"}})
     engine.create_collection({"name": "e", "dimension": 16, "embedder": config, "bm25Enabled": False})
-    engine.upsert("e", {"records": [{"id": "a", "text": "red fox"}, {"id": "b", "text": "blue whale"}]})
+    engine.upsert("e", {"records": [{"id": "a", "text": "red kite"}, {"id": "b", "text": "blue whale"}]})
     fails("TEXT_REQUIRED", engine.upsert, "e", {"records": [{"id": "a"}]})
-    assert ids(engine.search("e", {"text": "a fox", "topK": 1})) == ["a"]
+    fails("VALUES_AND_TEXT_CONFLICT", engine.upsert, "e", {"records": [{"id": "a", "text": "x", "values": [0.0] * 16}]})
+    assert ids(engine.search("e", {"text": "a kite", "topK": 1})) == ["a"]
+    kept = dict(engine.cache.kept)
+    engine.search("e", {"text": "a kite", "topK": 1})
+    assert engine.cache.kept == kept
+    engine.search("e", {"text": "a kite", "topK": 1, "noCache": True})
+    assert engine.cache.kept != kept
 
 
 def test_unknown_reranker_is_a_noop():

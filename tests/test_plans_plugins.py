@@ -21,7 +21,7 @@ def test_over_fetch():
 
 
 def test_search_chooses_its_source():
-    c = Compiler(2, True, lambda i, n: [1.0, 0.0], lambda t: [0.0, 1.0], 1000)
+    c = Compiler(2, True, lambda i, n: [1.0, 0.0], lambda t, fresh=False: [0.0, 1.0], 1000)
     assert c.search({"text": "x", "topK": 3}).source.kind == "hybrid"
     assert c.search({"text": "x", "topK": 3, "hybrid": False}).source.kind == "dense"
     p = c.search({"vector": [1, 0], "text": "x", "topK": 3, "hybrid": {"alpha": 0.2, "bm25Weight": 0.9}})

@@ -39,14 +39,14 @@ def test_batch(spark, records):
     assert sorted((r.query_id, r.id) for r in out) == [("a", "v1"), ("b", "v3")]
 
 
-TEXTS = [("v1", [1.0, 0, 0], None, "the quick brown fox"), ("v2", [0.0, 1, 0], None, "lazy dog sleeps all day"), ("v3", [0.0, 0, 1], None, "quick fox jumps high"), ("v4", None, None, None), ("v5", None, None, "")]
+TEXTS = [("v1", [1.0, 0, 0], None, "an amber kite glides"), ("v2", [0.0, 1, 0], None, "wet stones lie all day"), ("v3", [0.0, 0, 1], None, "amber glides kite high"), ("v4", None, None, None), ("v5", None, None, "")]
 
 
 def test_keywords(records):
     rows = records(*TEXTS)
-    found = top(retrieval.bm25(rows, "Quick, FOX quick!", 5))
+    found = top(retrieval.bm25(rows, "Amber, KITE amber!", 5))
     assert [x[1] for x in found] == ["v1", "v3"] and found[0][2] == found[1][2]
-    assert top(retrieval.bm25_postings(*retrieval.build_postings(rows), "quick fox", 5)) == found
+    assert top(retrieval.bm25_postings(*retrieval.build_postings(rows), "amber kite", 5)) == found
     n, df, tf, dl, avg = 4, 2, 1, 4, 13 / 4
     one = math.log((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))
     assert found[0][2] == round(2 * one, 4)
@@ -55,35 +55,43 @@ def test_keywords(records):
 
 
 def test_hybrid(records):
-    out = top(retrieval.hybrid(records(*TEXTS), [0, 1, 0], "quick fox", "cosine", 10))
+    out = top(retrieval.hybrid(records(*TEXTS), [0, 1, 0], "amber kite", "cosine", 10))
     assert [x[1] for x in out] == ["v1", "v3", "v2"]
-    both = top(retrieval.hybrid(records(*TEXTS), [1, 0, 0], "quick fox", "cosine", 1))
+    both = top(retrieval.hybrid(records(*TEXTS), [1, 0, 0], "amber kite", "cosine", 1))
     assert both == [(1, "v1", round(1 / 61, 4))]
-    assert [x[1] for x in top(retrieval.hybrid(records(*TEXTS), [0, 1, 0], "quick", "cosine", 1, alpha=1.0))] == ["v2"]
-    assert [x[1] for x in top(retrieval.hybrid(records(*TEXTS), [0, 1, 0], "quick", "cosine", 1, alpha=7, bm25_weight=5.0))] == ["v1"]
+    assert [x[1] for x in top(retrieval.hybrid(records(*TEXTS), [0, 1, 0], "amber", "cosine", 1, alpha=1.0))] == ["v2"]
+    assert [x[1] for x in top(retrieval.hybrid(records(*TEXTS), [0, 1, 0], "amber", "cosine", 1, alpha=7, bm25_weight=5.0))] == ["v1"]
 
 
 def test_keyword_statistics_are_those_of_the_collection(records):
     rows = records(*TEXTS)
-    some = top(retrieval.bm25(rows, "quick", 5, F.col("id") == "v3"))
-    assert some == [(1, "v3", top(retrieval.bm25(rows, "quick", 5))[1][2])]
+    some = top(retrieval.bm25(rows, "amber", 5, F.col("id") == "v3"))
+    assert some == [(1, "v3", top(retrieval.bm25(rows, "amber", 5))[1][2])]
 
 
 def test_pool_size():
     assert retrieval.pool_size(10) == 60 and retrieval.pool_size(5000) == 10_000
 
 
-def test_inverted_file(spark):
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "dotproduct"])
+def test_inverted_file(spark, tmp_path, metric):
     import numpy as np
 
     rng = np.random.default_rng(1)
-    x = rng.standard_normal((600, 8)).astype("float32")
-    rows = spark.createDataFrame([(f"r{i:03}", "", v.tolist(), None, None) for i, v in enumerate(x)], "id string, namespace string, values array<float>, text_content string, metadata string")
-    index = ann.build(rows, "cosine", 8, cells=16)
-    assert index.rows.count() == 600
+    x = (rng.standard_normal((3000, 16)) * rng.uniform(0.2, 3, (3000, 1))).astype("float32")
+    rows = spark.createDataFrame([(f"r{i:04}", "ab"[i % 10 == 0], v.tolist(), None, None) for i, v in enumerate(x)], "id string, namespace string, values array<float>, text_content string, metadata string")
+    ann.build(rows, metric, 16).write(str(tmp_path))
+    index = ann.read(spark, str(tmp_path))
+    assert index.rows.count() == 3000
     hits = 0
-    for q in x[:10]:
-        exact = {r.id for r in retrieval.dense(rows, q.tolist(), "cosine", 5).collect()}
-        hits += len(exact & {r.id for r in index.search(q.tolist(), 5, probes=8).collect()})
-    assert hits >= 45
-    assert ann.build(rows.limit(0), "cosine", 8).search([1.0] * 8, 5).count() == 0
+    for q in rng.standard_normal((4, 16)):
+        exact = {r.id for r in retrieval.dense(rows.where("namespace = 'a'"), q.tolist(), metric, 10).collect()}
+        hits += len(exact & {r.id for r in index.search(q.tolist(), 10, "a").collect()})
+    assert hits >= 36
+    assert len(index.cells(x[0], "a")) < len(index.centroids)
+    assert {r.id for r in index.search(x[1].tolist(), 10, "b").collect()} == {r.id for r in retrieval.dense(rows.where("namespace = 'b'"), x[1].tolist(), metric, 10).collect()}
+
+
+def test_inverted_file_of_nothing(records):
+    empty = records(("a", None))
+    assert ann.build(empty, "cosine", 8).search([1.0] * 8, 5).count() == 0
