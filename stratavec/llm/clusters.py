@@ -4,8 +4,8 @@ Rows are linked if their cosine reaches the threshold and they share a group (co
 connected set of at least ``min_size`` rows.  Finding them takes five steps, each spread over (group, block of rows):
 
 1. every block builds the leaves of a cluster-feature tree: (count, linear sum) summaries with a few exemplars;
-2. the leaves of a group are merged blocks by blocks, then agglomerated by Ward's criterion into centres, each with
-   *hubs*: exemplars that are linked to one another;
+2. the leaves of a group are merged by Ward's criterion, FAN_IN blocks at a time and level by level until one is left, into centres,
+   each with *hubs*: exemplars that are linked to one another; a node passes its MOST_LEAVES largest leaves on;
 3. one pass assigns every row to its nearest centre; a row linked to a hub of it is a core row and needs no more;
 4. the exact check: rows that aren't core, rows that lie towards another centre too, and the rows of a centre that lies
    close to a larger one, are compared with all rows of their group, in blocks; what they link is joined by connected
@@ -15,8 +15,8 @@ connected set of at least ``min_size`` rows.  Finding them takes five steps, eac
 Summaries only save work: a leaf that is left out makes its rows be checked in step 4.  The one thing taken on trust is
 that core rows of two centres aren't linked to each other if each has a cosine under TOWARDS with the other's centre.
 
-Scale: groups are cut into blocks of BLOCK_ROWS, so one that holds a third of all rows is many tasks; centres, and the
-rows to be checked, are copied to the blocks of their group.  Step 4 costs (rows to check) x (rows of the group).
+Scale: groups are cut into blocks of BLOCK_ROWS, so one that holds a third of all rows is many tasks; centres (MOST_LEAVES of a group at
+most), and the rows to be checked, are copied to the blocks of their group.  Step 5 joins by node and by cluster.  Step 4 costs (rows to check) x (rows of the group).
 
 Defined results: rows without a usable vector or a key are in no cluster and no result; a null namespace or collection
 counts as ''; a key that is repeated counts as many rows; the most
@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,8 +39,8 @@ from stratavec.operators.components import components
 from stratavec.session import cut_lineage
 
 BLOCK_ROWS = 32768
-#: Blocks whose leaves are merged at once; exemplars kept of a leaf; hubs of a centre.
-FAN_IN, EXEMPLARS, HUBS = 16, 4, 8
+#: Blocks whose leaves are merged at once; leaves that are passed on; exemplars kept of a leaf; hubs of a centre.
+FAN_IN, MOST_LEAVES, EXEMPLARS, HUBS = 16, 1024, 4, 8
 #: Leaves of a node of a feature tree; nodes that a row goes down.
 BRANCH, DESCEND = 64, 3
 #: Cosine a row needs to join a leaf; centres that may be merged; centres, and rows and other centres, that are checked.
@@ -243,6 +244,7 @@ def _assigned(records: DataFrame, dim: int, threshold: float, blocks: DataFrame)
         leaf, sums = cf_leaves(x)
         counts = np.bincount(leaf, minlength=len(sums))
         out = [(*key[:2], key[2] // FAN_IN, int(counts[k]), sums[k].tobytes(), keys[e].tolist(), x[e].tobytes()) for k, e in enumerate(_exemplars(x, keys, leaf, sums, EXEMPLARS)) if counts[k] > 1]
+        out = sorted(out, key=lambda o: -o[3])[:MOST_LEAVES]
         return pd.DataFrame(out, columns=["collection_name", "namespace", "block", "n", "ls", "heads", "examples"])
 
     def agglomerate(pdf: pd.DataFrame, hubs: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -258,7 +260,8 @@ def _assigned(records: DataFrame, dim: int, threshold: float, blocks: DataFrame)
             yield int(n[mine].sum()), total, keys[best], x[best]
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [(*key[:2], 0, n, total.tobytes(), keys.tolist(), x.tobytes()) for n, total, keys, x in agglomerate(pdf, EXEMPLARS)]
+        out = [(*key[:2], key[2] // FAN_IN, n, total.tobytes(), keys.tolist(), x.tobytes()) for n, total, keys, x in agglomerate(pdf, EXEMPLARS)]
+        out = sorted(out, key=lambda o: -o[3])[:MOST_LEAVES]
         return pd.DataFrame(out, columns=["collection_name", "namespace", "block", "n", "ls", "heads", "examples"])
 
     def centres(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -296,7 +299,9 @@ def _assigned(records: DataFrame, dim: int, threshold: float, blocks: DataFrame)
         return left.assign(node=node, check=check)[[*at, "rec_no", "node", "check", "vec"]]
 
     level = rows.groupBy(*at).applyInPandas(leaves, _LEAVES)
-    level = level.groupBy(*at).applyInPandas(merge, _LEAVES)
+    nodes = blocks.agg(F.max("blocks")).first()[0] or 1  # of the largest group
+    while (nodes := -(-nodes // FAN_IN)) > 1:
+        level = level.groupBy(*at).applyInPandas(merge, _LEAVES)
     found = level.groupBy("collection_name", "namespace").applyInPandas(centres, "collection_name string, namespace string, hub long, check boolean, centroid binary, hubs binary")
     cut = found.select("collection_name", "namespace", "hub", "check", "centroid", "hubs")
     return rows.groupBy(*at).cogroup(_to_blocks(cut, blocks).groupBy(*at)).applyInPandas(assign, "collection_name string, namespace string, block int, rec_no long, node long, check boolean, vec binary")
@@ -348,29 +353,22 @@ def members(records: DataFrame, dim: int, threshold: float = 0.7, min_size: int
     sizes = parts.groupBy("cluster").agg(F.sum("n").alias("n")).where(F.col("n") >= min_size).select("cluster")
     kept = parts.join(sizes, "cluster", "left_semi")
     sums = kept.groupBy("cluster").applyInPandas(total, "cluster long, n long, ls binary")
-    nodes = kept.select("collection_name", "namespace", "node", "cluster").distinct().join(sums, "cluster")
-
-    def rank(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"rec_no": left.rec_no, "cluster": pd.array([None] * len(left), "Int64"), "n": pd.array([None] * len(left), "Int64"), "mean_similarity": np.nan})
-        if len(left) and len(right):
-            order = np.argsort(right.node.to_numpy(), kind="stable")
-            known = right.node.to_numpy()[order]
-            slot = np.clip(np.searchsorted(known, left.node.to_numpy()), 0, len(known) - 1)
-            fine = known[slot] == left.node.to_numpy()
-            slot = order[slot[fine]]
-            x = unit(matrix(left.vec, dim), np.float64)[fine]
-            ls = np.frombuffer(b"".join(right.ls), np.float64).reshape(-1, dim)
-            n = right.n.to_numpy()[slot]
-            mean = np.empty(len(x))
-            for s in range(0, len(x), _CHUNK):
-                mean[s : s + _CHUNK] = np.einsum("ij,ij->i", x[s : s + _CHUNK], ls[slot[s : s + _CHUNK]])
-            out.loc[fine, "cluster"] = right.cluster.to_numpy()[slot]
-            out.loc[fine, "n"] = n
-            out.loc[fine, "mean_similarity"] = mean / n
-        return out
-
-    ranked = rows.select(*at, "rec_no", "node", "vec").groupBy(*at).cogroup(_to_blocks(nodes, blocks).groupBy(*at)).applyInPandas(rank, "rec_no long, cluster long, n long, mean_similarity double")
-    return cut_lineage(ranked.withColumn("mean_similarity", F.nanvl("mean_similarity", F.lit(None).cast("double"))))
+    group = ["collection_name", "namespace", "node"]
+    of = kept.select(*group, "cluster").distinct()
+    placed = rows.select(*group, "rec_no", "vec").join(of, group, "left").join(sums, "cluster", "left").select("rec_no", "cluster", "n", "vec", "ls")
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            inside = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False))
+            mean = np.full(batch.num_rows, np.nan)
+            for s in range(0, len(inside), _CHUNK):
+                take = pa.array(inside[s : s + _CHUNK])
+                x = unit(matrix(batch.column(3).take(take).to_pylist(), dim), np.float64)
+                ls = np.frombuffer(b"".join(batch.column(4).take(take).to_pylist()), np.float64).reshape(-1, dim)
+                mean[inside[s : s + _CHUNK]] = np.einsum("ij,ij->i", x, ls) / batch.column(2).take(take).to_numpy()
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(mean, mask=np.isnan(mean))], names=["rec_no", "cluster", "n", "mean_similarity"])
+
+    return cut_lineage(placed.mapInArrow(rank, "rec_no long, cluster long, n long, mean_similarity double"))
 
 
 def _typical_first() -> list:

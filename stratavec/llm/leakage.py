@@ -24,21 +24,21 @@ from pyspark.sql import functions as F
 from stratavec.functions.text import words
 from stratavec.llm.wikitext import visible
 
-#: Words of one look-up key; three keys of 21 bits fill a 64-bit integer.
-_BITS, _PER_KEY = 21, 3
+#: Hits that are stretched at once.
+HITS = 1 << 20
 #: Characters of items held by a worker at once; more items are searched in further passes.
 ITEM_CHARS = 16_000_000
 #: Characters of documents in one suffix array.
 SHARD_CHARS = 8_000_000
 
 
-def _keys(ids: np.ndarray, at: np.ndarray, n_words: int) -> list[np.ndarray]:
-    """Columns that order the ``n_words`` words from each place, most significant first."""
-    keys = []
-    for k in range(0, n_words, _PER_KEY):
+def _keys(ids: np.ndarray, at: np.ndarray, n_words: int, bits: int) -> list[np.ndarray]:
+    """Columns that order the ``n_words`` words of ``bits`` bits from each place, most significant first."""
+    keys, per_key = [], 63 // bits
+    for k in range(0, n_words, per_key):
         key = np.zeros(len(at), np.int64)
-        for j in range(k, min(k + _PER_KEY, n_words)):
-            key = key << _BITS | ids[at + j]
+        for j in range(k, min(k + per_key, n_words)):
+            key = key << bits | ids[at + j]
         keys.append(key)
     return keys
 
@@ -92,11 +92,10 @@ class TestSuffixes:
                 start.extend(range(len(found)))
                 for column in (ids, owner, start):
                     column.append(0)
-        if len(self.vocabulary) >= 1 << _BITS:
-            raise ValueError("too many different words for one block of items")
+        self.bits = max(1, len(self.vocabulary).bit_length())
         self.ids, self.owner, self.start = np.array(ids, np.int64), np.array(owner, np.int64), np.array(start, np.int32)
         self.at = np.flatnonzero(_room(self.ids) >= min_words)
-        self.probe = _keys(self.ids, self.at, min_words)
+        self.probe = _keys(self.ids, self.at, min_words, self.bits)
 
     def search(self, docs: list[list[str]]) -> list[tuple[int, int, int, int, int]]:
         """(index of the document, item, words matched, word place in the document, in the item)."""
@@ -111,16 +110,25 @@ class TestSuffixes:
         places = np.flatnonzero(_room(text) >= self.min_words)
         if not len(places) or not len(self.at):
             return []
-        keys = _keys(text, places, self.min_words)
+        keys = _keys(text, places, self.min_words, self.bits)
         order = np.lexsort(keys[::-1])
         array, table = places[order], [k[order] for k in keys]
         low, high = _bound(table, self.probe, False), _bound(table, self.probe, True)
         counts = high - low
-        hit = np.repeat(np.arange(len(self.at)), counts)
-        if not len(hit):
-            return []
-        into = np.arange(len(hit)) - np.repeat(np.cumsum(counts) - counts, counts)
-        doc_at, item_at = array[low[hit] + into], self.at[hit]
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        starts_ = np.array(starts)
+        ends = np.cumsum(counts)
+        first, total = 0, 0
+        while first < len(counts):  # boilerplate has many places, so suffixes are taken in lots of bounded hits
+            last = max(first + 1, int(np.searchsorted(ends, total + HITS, "right")))
+            hit = np.repeat(np.arange(first, last), counts[first:last])
+            into = np.arange(len(hit)) - np.repeat(ends[first:last] - counts[first:last] - total, counts[first:last])
+            self._stretch(text, array[low[hit] + into], self.at[hit], starts_, best)
+            first, total = last, int(ends[last - 1])
+        return [(d, i, n, -a, -b) for (d, i), (n, a, b) in sorted(best.items())]
+
+    def _stretch(self, text: np.ndarray, doc_at: np.ndarray, item_at: np.ndarray, starts: np.ndarray, best: dict) -> None:
+        """The longest match of each (document, item) among these hits, the first of equals, into ``best``."""
         first = (text[doc_at - 1] != self.ids[item_at - 1]) | (text[doc_at - 1] == 0)  # not within a longer match
         doc_at, item_at = doc_at[first], item_at[first]
         length = np.full(len(doc_at), self.min_words, np.int64)
@@ -129,14 +137,15 @@ class TestSuffixes:
             a, b = text[doc_at[open_] + length[open_]], self.ids[item_at[open_] + length[open_]]
             open_ = open_[(a == b) & (a != 0)]
             length[open_] += 1
-        doc = np.searchsorted(np.array(starts), doc_at, "right") - 1
+        doc = np.searchsorted(starts, doc_at, "right") - 1
         item = self.owner[item_at]
-        best = np.lexsort((doc_at, -length, item, doc))
-        keep = np.ones(len(best), bool)
-        keep[1:] = (np.diff(doc[best]) != 0) | (np.diff(item[best]) != 0)
-        best = best[keep]
-        offset = doc_at[best] - np.array(starts)[doc[best]]
-        return list(zip(doc[best].tolist(), item[best].tolist(), length[best].tolist(), offset.tolist(), self.start[item_at[best]].tolist()))
+        order = np.lexsort((item_at, doc_at, -length, item, doc))
+        keep = np.ones(len(order), bool)
+        keep[1:] = (np.diff(doc[order]) != 0) | (np.diff(item[order]) != 0)
+        for k in order[keep].tolist():
+            pair, found = (int(doc[k]), int(item[k])), (int(length[k]), int(starts[doc[k]] - doc_at[k]), -int(self.start[item_at[k]]))
+            if pair not in best or found > best[pair]:
+                best[pair] = found
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:

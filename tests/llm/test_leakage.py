@@ -68,3 +68,22 @@ def test_nothing_and_removal(spark):
     docs, items = docs_of(spark, ["a b c d", "x", None]), items_of(spark, ["a b c d"])
     assert leakage.find_leaks(docs.limit(0), items, 2).count() == 0 and leakage.find_leaks(docs, items.limit(0), 2).count() == 0
     assert [r.doc_id for r in leakage.without_leaks(docs, leakage.find_leaks(docs, items, 2)).collect()] == [1, 2]
+
+
+def test_links_nest_to_any_depth():
+    from stratavec.llm.wikitext import visible
+
+    assert visible("[[File:a.jpg|thumb|" * 6 + "the [[x|caption]]" + " end]]" * 6).split() == ["the", "caption", *["end"] * 6]
+    assert visible("[[a|b [[c|d]]").split() == ["[[a|b", "d"] and visible("x]] y [[z]]") == "x]] y z"
+    assert len(visible("[[a|" * 20_000 + "w" + "]]" * 20_000)) == 1
+
+
+def test_boilerplate_in_lots(monkeypatch):
+    from stratavec.llm import leakage
+
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = [[f"w{i}" for i in range(30)] * 3, ["x", *[f"w{i}" for i in range(3, 20)]], ["y"] * 40] * 5
+    one = leakage.TestSuffixes([(7, text), (8, text + " more")], 12).search(docs)
+    monkeypatch.setattr(leakage, "HITS", 3)
+    assert leakage.TestSuffixes([(7, text), (8, text + " more")], 12).search(docs) == one
+    assert [r[:4] for r in one][:4] == [(0, 7, 30, 0), (0, 8, 30, 0), (1, 7, 17, 1), (1, 8, 17, 1)]
