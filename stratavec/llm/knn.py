@@ -44,7 +44,7 @@ SUB, SCORE_FROM = 4, 0.2
 #: Candidates of a block that are reranked at first, for each neighbour asked for; rows of a task; share of near rows to be held.
 RERANK, TASK_ROWS, HOLD = 12, 4096, 0.98
 #: How far from a border, in standard deviations across it, a row looks behind it.
-BORDER = 2.5
+BORDER = 2.0
 
 
 @dataclass
