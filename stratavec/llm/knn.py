@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratavec.llm.vectors import copy_classes, first_members, hash_sample, kmeans, matrix, unit, usable_vectors
+from stratavec.llm.vectors import copy_classes, first_members, hash_sample, kmeans, matrix, steps, unit, usable_vectors
 from stratavec.session import cut_lineage
 
 #: Rows a cell aims at, rows of a block, most centroids, rows that cells and words are fitted on.
@@ -61,6 +61,13 @@ class Index:
     def dim(self) -> int:
         return self.centroids.shape[1]
 
+    def own(self, x: np.ndarray) -> np.ndarray:
+        """The nearest cell of each row, for any number of rows and cells without a matrix of both."""
+        out = np.empty(len(x), np.int64)
+        for s in steps(len(x), len(self.centroids)):
+            out[s] = (x[s] @ self.centroids.T).argmax(1)
+        return out
+
     def nearest(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The nearest cells, best first."""
         return self.nearest_with_scores(x, probes)[0]
@@ -174,7 +181,7 @@ def fit_index(sample: np.ndarray, rows: int, cell_rows: int = CELL_ROWS, block_r
     centroids = kmeans(sample, cells, 8)
     eta = max(2.0, (dim - 1) * SCORE_FROM**2 / (1 - SCORE_FROM**2))
     index = Index(centroids, np.zeros((dim // SUB, 16, SUB), np.float32), np.ones(len(centroids), np.int64), eta, np.zeros((1, dim), np.float32))
-    near = index.nearest(sample, 1)[:, 0]
+    near = index.own(sample)
     part = slice(0, 8192)
     residual = sample - centroids[near]
     if wanted > MOST_CELLS:
@@ -198,14 +205,17 @@ def fit_index(sample: np.ndarray, rows: int, cell_rows: int = CELL_ROWS, block_r
 def fit_probes(index: Index, sample: np.ndarray, k: int, queries: int = 512) -> int:
     """How many cells hold HOLD of the k nearest rows of the sample of each of its first rows."""
     q = sample[:queries]
-    score = q @ sample.T
-    score[np.arange(len(q)), np.arange(len(q))] = -2
-    k = min(k, score.shape[1])
-    near = np.argpartition(-score, k - 1, axis=1)[:, :k]
-    cell = index.nearest(sample, 1)[:, 0]
-    to_cells = q @ index.centroids.T
-    rank = (to_cells[:, None, :] > np.take_along_axis(to_cells, cell[near], 1)[:, :, None]).sum(2)
-    return int(np.quantile(rank, HOLD)) + 1
+    k = min(k, len(sample))
+    cell = index.own(sample)
+    ranks = []
+    for s in steps(len(q), max(len(sample), k * len(index.centroids))):
+        score = q[s] @ sample.T
+        i = np.arange(len(score))
+        score[i, s.start + i] = -2
+        near = np.argpartition(-score, k - 1, axis=1)[:, :k]
+        to_cells = q[s] @ index.centroids.T
+        ranks.append((to_cells[:, None, :] > np.take_along_axis(to_cells, cell[near], 1)[:, :, None]).sum(2))
+    return int(np.quantile(np.concatenate(ranks), HOLD)) + 1
 
 
 def _top(index: Index, q: np.ndarray, q_keys: np.ndarray, x_keys: np.ndarray, x: np.ndarray, packed: np.ndarray, centroid: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -299,7 +309,7 @@ def nearest_neighbours(records: DataFrame, dim: int, k: int, key: str = "rec_no"
             ask = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             raw = batch.column(3)
             x = unit(matrix(raw.to_pylist(), dim))
-            nearest = np.concatenate([(x[s : s + 4096] @ ix.centroids.T).argmax(1) for s in range(0, len(x), 4096)])
+            nearest = ix.own(x)
             code = pack(ix.codes(x, nearest))
             own = ix.home(x, nearest)
             home = (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % ix.blocks[own]

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from stratavec.session import cut_lineage
 
+#: Numbers of a matrix that is made at once.
+STEP = 2_000_000
+
 
 def usable_vectors(df: DataFrame, columns: list[str], dim: int, values: str = "values") -> DataFrame:
     """``columns`` and ``vec`` of the rows whose vector is usable and whose first column, the key, isn't null; one narrow pass."""
@@ -41,10 +44,13 @@ def matrix(vecs, dim: int) -> np.ndarray:
 
 def unit(x: np.ndarray, dtype=np.float32) -> np.ndarray:
     """Rows of length 1; the length is taken in double precision, and safely for tiny and huge numbers."""
-    y = x.astype(np.float64)
-    y /= np.abs(y).max(axis=1, keepdims=True)
-    y /= np.sqrt(np.einsum("ij,ij->i", y, y))[:, None]
-    return y.astype(dtype, copy=False)
+    out = np.empty(x.shape, dtype)
+    for s in steps(*x.shape):
+        y = x[s].astype(np.float64)
+        y /= np.abs(y).max(axis=1, keepdims=True)
+        y /= np.sqrt(np.einsum("ij,ij->i", y, y))[:, None]
+        out[s] = y
+    return out
 
 
 def copy_classes(rows: DataFrame, key: str, within: list[str], content: str = "vec") -> DataFrame:
@@ -74,6 +80,12 @@ def hash_sample(df: DataFrame, key: str | Column, rows: int, of: int, seed: int
     return df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 30)) < share).limit(2 * rows)
 
 
+def steps(rows: int, width: int) -> Iterator[slice]:
+    """Slices of ``rows`` rows, of at most 4,096 rows each, and fewer if a row has many numbers in ``width``: a matrix of a slice stays under STEP numbers."""
+    size = max(1, min(4096, STEP // max(1, width)))
+    return (slice(s, s + size) for s in range(0, rows, size))
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 5, spherical: bool = True) -> np.ndarray:
     """Centroids by Lloyd's method from random rows; an empty cell takes the row worst served."""
     rng = np.random.default_rng(seed)
@@ -82,10 +94,10 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 5, spherical: bool =
     for _ in range(rounds):
         best, near = np.empty(len(x), np.float32), np.empty(len(x), np.int64)
         half = 0.5 * np.einsum("ij,ij->i", c, c)
-        for s in range(0, len(x), 4096):
-            score = x[s : s + 4096] @ c.T - half
-            near[s : s + 4096] = score.argmax(1)
-            best[s : s + 4096] = score.max(1)
+        for s in steps(len(x), k):
+            score = x[s] @ c.T - half
+            near[s] = score.argmax(1)
+            best[s] = score.max(1)
         counts = np.bincount(near, minlength=k)
         order = np.argsort(near, kind="stable")
         filled = np.flatnonzero(counts)

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -109,6 +111,26 @@ def test_codes_prefer_small_parallel_error():
     assert (np.abs(scores - x[:50] @ x[one].T) <= error + 1e-4).all()
 
 
+def test_fit_makes_no_matrix_of_sample_and_cells():
+    sample = unit(clustered(9, 16384, centres=500))
+    tracemalloc.start()
+    try:
+        index = knn.fit_index(sample, 2_048_000)
+        probes = knn.fit_probes(index, sample, 5)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(index.centroids) == 2048 and peak < 60e6  # the matrix has 134 MB
+    near = (sample @ index.centroids.T).argmax(1)
+    assert (index.own(sample) == near).mean() > 0.999
+    score = sample[:512] @ sample.T
+    np.fill_diagonal(score, -2)
+    to_cells = sample[:512] @ index.centroids.T
+    held = np.take_along_axis(to_cells, near[np.argsort(-score, axis=1)[:, :5]], 1)
+    ranks = (to_cells[:, None] > held[:, :, None]).sum(2)
+    assert abs(np.quantile(ranks, knn.HOLD) + 1 - probes) <= 1
+
+
 def test_nothing(spark):
     assert knn.nearest_neighbours(table(spark, []), 16, 5).count() == 0
     with pytest.raises(ValueError):
